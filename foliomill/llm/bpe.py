@@ -31,7 +31,7 @@ CACHE_WORDS, CACHED_CHARS = 150_000, 64
 NO_RANK = 1 << 40
 
 #: Unicode White_Space.
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 FIELD = re.compile(f"[^{SPACES}]+")
 #: Characters that str.split() takes for white space though Unicode's White_Space does not hold them.
 SEPARATORS = re.compile("[\x1c-\x1f]")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import bpe, tokencount
+from foliomill.llm import bpe, simhash, suffixdedup, tokencount
 from foliomill.llm.common import table
 
 
@@ -12,12 +12,23 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
 QUERIES = {
     "op5_token_counts": op5_token_counts,
+    "op6_simhash": op6_simhash,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
 }
 
