@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 256
 #: A table is broadcast only when it was counted and has no more rows than this.
 BROADCAST_ROWS = 20_000
+#: The slot of rows without an id.
+NO_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,12 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def slots(docs: DataFrame, *others: str) -> DataFrame:
+    """slot and mark name a row: its id and a hash of its text, so that rows that share an id are told apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("slot"), F.hash(text).alias("mark"), text.alias("text"), *others)
+
+
 def remainder(doc_id: str, parts: int):
     """crc32 of doc_id as text, mod `parts`; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
