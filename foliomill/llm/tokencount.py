@@ -23,12 +23,17 @@ from foliomill.llm.common import small_batches, texts
 CHUNK, OVERLAP, LIMIT = 32_768, 512, 2048
 
 
+#: Ids of each of some runs without white space.
+Encode = Callable[[list[str]], list[tuple]]
+
+
 class Chunk:
     """The encoding of text[start:stop] as runs: absolute offsets, and ids by run."""
 
-    def __init__(self, text: str, start: int, stop: int, ids_of: Callable[[str], tuple]):
+    def __init__(self, text: str, start: int, stop: int, ids_of: Encode):
         self.start, self.stop = start, min(stop, len(text))
-        self.runs = [(m.start(), m.end(), ids_of(m.group())) for m in FIELD.finditer(text, self.start, self.stop)]
+        found = [(m.start(), m.end()) for m in FIELD.finditer(text, self.start, self.stop)]
+        self.runs = [(s, e, ids) for (s, e), ids in zip(found, ids_of([text[s:e] for s, e in found]))]
 
     def stable(self, text: str) -> dict[int, tuple[int, tuple]]:
         """Runs that the chunk's ends cannot have cut: a white space stands before, and one behind or the text ends."""
@@ -43,7 +48,7 @@ def splice(text: str, left: Chunk, right: Chunk) -> int | None:
     return next((s for s, found in right.stable(text).items() if mine.get(s) == found), None)
 
 
-def count(text: str, ids_of: Callable[[str], tuple], chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+def count(text: str, ids_of: Encode, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a whole text, counted chunk by chunk."""
     total, left, cut = 0, Chunk(text, 0, chunk, ids_of), 0  # cut: where the left chunk's own runs begin
     while left.stop < len(text):
@@ -70,14 +75,14 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        ids_of = Cache(lambda w: tuple(bpe.word(w)))
-        size_of = Cache(lambda w: len(bpe.word(w)))
+        ids_of, size_of = Cache(bpe, tuple), Cache(bpe, len)
         for batch in batches:
-            n_bytes, n_tokens = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(sum(map(size_of.__getitem__, words_of(text))) if len(text) <= chunk else count(text, ids_of.__getitem__, chunk, overlap))
+            held = [t or "" for t in batch.column(1).to_pylist()]
+            n_bytes = [len(t.encode()) for t in held]
+            n_tokens = [sum(sizes) for sizes in size_of.of([words_of(t) if len(t) <= chunk else [] for t in held])]
+            for i, text in enumerate(held):
+                if len(text) > chunk:
+                    n_tokens[i] = count(text, lambda words: ids_of.of([words])[0], chunk, overlap)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

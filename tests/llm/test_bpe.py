@@ -31,13 +31,23 @@ def test_encoding_and_decoding_equal_the_library(library):
         assert ours.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_scan_and_heap_agree():
+def test_arrays_and_heap_agree():
     ours, r = bpe.load(PATH), random.Random(5)
-    for _ in range(200):
-        raw = "".join(r.choices("etaoinshr", k=r.randrange(2, 150))).encode()
-        ids = [ours.inner[b] for b in raw]
-        ids[-1] = ours.last[raw[-1]]
-        assert ours.scanned(ids[:]) == ours.heaped(ids[:])
+    pieces = ["".join(r.choices("etaoinshré", k=r.randrange(1, 120))) for _ in range(400)]
+    for piece, got in zip(pieces, ours.parts(pieces)):
+        ids = [ours.inner[b] for b in piece.encode()]
+        ids[-1] = ours.last[piece.encode()[-1]]
+        assert got == ours.heaped(ids)
+
+
+def test_a_full_cache_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 40)
+    ours = bpe.Bpe(PATH)
+    cache = bpe.Cache(ours, tuple)
+    for text in random_texts(60, seed=8):
+        ids = [i for word in cache.of([bpe.words_of(text)])[0] for i in word]
+        assert ids == library.encode(text, add_special_tokens=False).ids
+        assert ours.decode_digits([" ".join(map(str, w)) for w in cache.of([bpe.words_of(text)])[0]]) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_encoded_documents(spark, library):
@@ -54,7 +64,7 @@ def test_encoded_documents(spark, library):
 def test_chunks_are_spliced_exactly(library, chunk, overlap):
     ours = bpe.load(PATH)
     for text in [t for t in ODD if t] + random_texts(120, seed=chunk):
-        assert tokencount.count(text, lambda w: tuple(ours.word(w)), chunk, overlap) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+        assert tokencount.count(text, ours.words, chunk, overlap) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
 
 
 def test_counted_documents(spark, library):
