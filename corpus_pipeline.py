@@ -1,25 +1,61 @@
-"""From raw documents to token ids in stages; each is written as Parquet and read again as the next one's documents."""
+"""From raw documents to token ids in stages; each is written as Parquet and read again as the next one's documents.
+
+Toxic documents go; of each group of near copies the one with the smallest id stays; passages of 200 bytes and more that repeat
+are cut out of the texts (in whole characters); documents that leak a benchmark item go; the rest is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliomill.llm import bpe
+from foliomill.llm import bpe, decontam, simhash, suffixdedup, toxicity
 from foliomill.llm.common import table, written
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labels of those at hand, does not reject."""
+    return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one whose id names the group. Rows that share an id are one document,
+    of which one row stays; rows without an id all stay."""
+    found = simhash.classes(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that occur more than once."""
+    return suffixdedup.remove(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of what they decode to."""
     return bpe.encode_documents(docs)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("bpe", encode),
+]
 
-#: The first stages learn from data, which SQL does not express; tests hold the pipeline against a brute-force version.
+#: The first stages learn from data and follow chains of links, which SQL does not express; tests hold the pipeline against
+#: plain versions of its stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))

@@ -12,7 +12,7 @@
 Input: documents (doc_id, text), benchmark (item_id, text). Result: a row for each document and item leaked: doc_id, item_id,
 n_windows (of the item), n_matched (distinct), coverage, exact (every slot has the item's own value). Null and empty texts
 leak nothing and are not leaked. Null ids are kept. Items with the same text are all reported; a repeated row of an item counts
-once, repeated rows of a document are reported once each. Empty tables give an empty table. Other columns are ignored.
+once, and so does a repeated row of a document. Empty tables give an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import bpe, decontam, langid, simhash, suffixdedup, tokencount, toxicity
+from foliomill.llm import bitslice, bpe, decontam, langid, license, simhash, suffixdedup, tokencount, toxicity, urlfilter
 from foliomill.llm.common import table
 
 
@@ -22,6 +22,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("slot", "mark")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return license.scan(docs, license.fit(docs))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = urlfilter.verdicts(urlfilter.dated_pages(pages), urlfilter.sample_history(pages))
+    return found.withColumns({c: found[c].cast("string") for c in ("fetched_on", "valid_from", "valid_to")})
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.digests(table(spark, sf_dir, "documents"))
 
@@ -43,12 +58,17 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_license_scan": op4_license_scan,
     "op5_token_counts": op5_token_counts,
     "op6_simhash": op6_simhash,
+    "op7_top_k": op7_top_k,
+    "op8_url_filter": op8_url_filter,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": decontam.SQL,
+    "op7_top_k": bitslice.SQL,
+    "op8_url_filter": urlfilter.SQL,
 }
