@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import small_batches
+from foliomill.llm.common import NO_ID, slots, small_batches
 from foliomill.llm.deepshallow import order
 
 WIDTH, GRAM = 200, 64
@@ -64,12 +64,6 @@ def least_hashes(buf: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple
     return out, twice
 
 
-def slots(docs: DataFrame, *others: str) -> DataFrame:
-    """slot and mark name a row: its id and a hash of its text, so that rows that share an id are told apart."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("slot"), F.hash(text).alias("mark"), text.alias("text"), *others)
-
-
 def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """key, slot, mark, start, size, n: consecutive starts that share a key; n is 2 if the key's gram occurs in them more than once."""
 
@@ -227,7 +221,7 @@ def whole_characters(raw: bytes, gone: list[tuple[int, int]]) -> list[tuple[int,
 
 def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = slots(docs, F.col("doc_id").cast("long").alias("doc_id"))
+    rows = slots(docs)  # the same columns on both sides of the joins, so that texts are shuffled once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,10 +230,10 @@ def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
                 raw, gone = text.encode(), merged(spans)
                 out.append((len(raw), sum(e - s for s, e in gone), len(gone), sha256(kept(raw, gone) if gone else raw).hexdigest()))
             cols = [*zip(*out)] if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["slot", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     found = intervals(rows, width, gram)
-    return rows.join(found, ["slot", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.join(found, ["slot", "mark"], "left").select("slot", "text", "spans").mapInArrow(run, "slot long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").select(F.when(F.col("slot") != NO_ID, F.col("slot")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
