@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation (operator 3), in DataFrame functions only.
 
-1. Texts and benchmark items become tokens: numbers, words, unit signs. In the template of a text a number is written <n>, a
-   unit <u>, a capitalised word <name>; every other token is its lower case.
+1. Texts and benchmark items become tokens: numbers, words, unit signs. In the template of a text a number is written 0, a
+   capitalised word 1, a unit 2; every other token is its lower case.
 2. Templates are cut into windows of `WIDTH` tokens (an item shorter than that is one window), which are hashed and joined.
    Windows of items of which over half the tokens are placeholders say too little and are left out; an item that has no other
    windows is compared by its plain lower-case tokens instead.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import BROADCAST_ROWS, NO_ID, slots
+from foliomill.llm.common import BROADCAST_ROWS, NO_ID, slots, written
 
 WIDTH, COVERAGE = 8, 0.5
 #: What a token is, and the words taken for units.
@@ -33,30 +33,40 @@ def tokens(text: Column) -> Column:
 
 
 def template(token: Column) -> Column:
-    """What stands for a token in a template."""
+    """What stands for a token in a template: 0 a number, 2 a unit, 1 a capitalised word, else its lower case."""
     first = F.substring(token, 1, 1)
-    plain = F.lower(token)
-    return F.when(first.between("0", "9"), F.lit("<n>")).when(plain.isin(UNITS), F.lit("<u>")).when(first != F.lower(first), F.lit("<name>")).otherwise(plain)
+    return F.when(first.between("0", "9"), F.lit("0")).when(F.lower(token).isin(UNITS), F.lit("2")).when(first != F.lower(first), F.lit("1")).otherwise(F.lower(token))
 
 
 def is_slot(token: Column) -> Column:
-    return F.substring(template(token), 1, 1) == "<"
+    return template(token).isin("0", "1", "2")
 
 
-def window_hashes(tokens_: Column, width: int, plain: bool) -> Column:
-    """Hash of the `width` tokens from each position on; hashes of longer windows are made of hashes of shorter ones."""
-    hashes = F.transform(tokens_, lambda t: F.xxhash64(F.lower(t) if plain else template(t)))
-    known, done, k = None, 0, 1
-    while True:
+def templates(text: Column) -> Column:
+    """`template` of every token, made on the whole text by three replacements before it is divided: much cheaper than by token."""
+    inside = r"[\p{L}\p{M}]"
+    out = F.regexp_replace(text, r"[0-9]+(?:[.,][0-9]+)*", "0")
+    signs, names = [u for u in UNITS if not u.isalpha()], [u for u in UNITS if u.isalpha()]
+    out = F.regexp_replace(out, f"(?<!{inside})(?iu:{'|'.join(names)})(?!{inside})|[{''.join(signs)}]", "2")
+    out = F.regexp_replace(out, rf"(?<!{inside})[\p{{Lu}}\p{{Lt}}]{inside}*", "1")
+    return F.regexp_extract_all(F.lower(out), F.lit(inside + "+|[0-2]"), F.lit(0))
+
+
+def with_hashes(rows: DataFrame, tokens_: Column, width: int) -> DataFrame:
+    """`rows` with `hashes`: of the `width` tokens from each position on. Hashes of longer windows are made of those of shorter
+    ones, and each length is a column of its own, so that none is computed twice. Explode them by an outer function: an inner
+    one brings a filter on their size, which is pushed down and computes every length anew."""
+    rows, done, k = rows.withColumn("_step", F.transform(tokens_, lambda t: F.xxhash64(t))), 0, 1
+    while done < width:
         if width & k:
-            known = hashes if known is None else joined(known, hashes, done)
+            rows = rows.withColumn("hashes", joined("hashes", "_step", done) if done else F.col("_step"))
             done += k
-        if done == width:
-            return known
-        hashes, k = joined(hashes, hashes, k), 2 * k
+        if done < width:
+            rows, k = rows.withColumn("_step", joined("_step", "_step", k)), 2 * k
+    return rows.drop("_step")
 
 
-def joined(left: Column, right: Column, by: int) -> Column:
+def joined(left: str, right: str, by: int) -> Column:
     n = F.greatest(F.size(right) - by, F.lit(0))
     return F.zip_with(F.slice(left, 1, n), F.slice(right, by + 1, n), lambda a, b: F.xxhash64(a, b))
 
@@ -64,9 +74,10 @@ def joined(left: Column, right: Column, by: int) -> Column:
 def item_windows(items: DataFrame, width: int, plain: bool) -> DataFrame:
     """item_id, at, hash, telling: the windows of some items with their tokens."""
     slots_ = F.transform("tokens", lambda t: is_slot(t).cast("int"))
-    rows = items.select("item_id", "mark", "tokens", F.posexplode(window_hashes(F.col("tokens"), width, plain)).alias("at", "hash"), slots_.alias("slots"))
+    rows = with_hashes(items.select("item_id", "mark", slots_.alias("slots"), F.transform("tokens", lambda t: F.lower(t) if plain else template(t)).alias("written")), F.col("written"), width)
+    rows = rows.select("item_id", "mark", "slots", F.posexplode_outer("hashes").alias("at", "hash"))
     few = F.aggregate(F.slice("slots", F.col("at") + 1, width), F.lit(0), lambda s, x: s + x)
-    return rows.select("item_id", "mark", "at", "hash", (F.lit(plain) | (2 * few <= width)).alias("telling"))
+    return rows.where("hash IS NOT NULL").select("item_id", "mark", "at", "hash", (F.lit(plain) | (2 * few <= width)).alias("telling"))
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int, plain: bool) -> DataFrame:
@@ -76,14 +87,15 @@ def matches(docs: DataFrame, items: DataFrame, width: int, plain: bool) -> DataF
     windows = windows.join(n, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("item_id", F.col("mark").alias("item_mark"), "at", "hash", "n_windows")
     if windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
-    found = docs.select("slot", "mark", F.posexplode(window_hashes(tokens(F.col("text")), width, plain)).alias("pos", "hash"))
+    tokened = docs.select("slot", "mark", (tokens(F.lower("text")) if plain else templates(F.col("text"))).alias("written"))
+    found = with_hashes(tokened, F.col("written"), width).select("slot", "mark", F.posexplode_outer("hashes").alias("pos", "hash"))
     hits = found.join(windows, "hash")
     return hits.groupBy("slot", "mark", "item_id", "item_mark", "n_windows", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
 
 
 def aligned(found: DataFrame, docs: DataFrame, items: DataFrame, width: int, plain: bool) -> DataFrame:
     """The rows of `found` whose slots are consistent, with `exact`."""
-    by_doc = docs.join(found, ["slot", "mark"]).select("slot", "mark", "item_id", "item_mark", "n_windows", "diagonal", "ats", F.transform(tokens(F.col("text")), lambda t: t).alias("doc_tokens"))
+    by_doc = docs.join(found, ["slot", "mark"]).select("slot", "mark", "item_id", "item_mark", "n_windows", "diagonal", "ats", tokens(F.col("text")).alias("doc_tokens"))
     theirs = items.select(F.col("item_id").alias("i"), F.col("mark").alias("m"), "tokens")
     both = by_doc.join(theirs, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_mark") == F.col("m")))
     held = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + width - 1))))
@@ -102,6 +114,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, covera
     short = item_windows_short(items, width)
     marked = telling.unionByName(short) if short is not None else telling
     items = items.join(marked.select(F.col("item_id").alias("i"), F.col("mark").alias("m"), "t"), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("item_id", "mark", "tokens", F.least(F.size("tokens"), F.lit(width)).alias("width"), F.expr("NOT t").alias("plain"))
+    items = written(items)  # a small table that is looked at many times
     out = None
     for w, plain in sorted((r.width, r.plain) for r in items.select("width", "plain").distinct().collect()):  # at most 2 x width kinds
         some = items.where((F.col("width") == w) & (F.col("plain") == plain)).drop("width", "plain")
@@ -131,13 +144,13 @@ SQL = r"""
 WITH items0 AS (
   SELECT DISTINCT item_id, text, regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+|[$€£%°]') AS tok FROM benchmark WHERE text IS NOT NULL
 ), items AS (
-  SELECT item_id, text, tok, list_transform(tok, lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN '<n>' WHEN list_contains(string_split('UNITS', ' '), lower(t)) THEN '<u>' WHEN t[1] <> lower(t[1]) THEN '<name>' ELSE lower(t) END) AS tpl FROM items0 WHERE len(tok) >= 8
+  SELECT item_id, text, tok, list_transform(tok, lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN '0' WHEN list_contains(string_split('UNITS', ' '), lower(t)) THEN '2' WHEN t[1] <> lower(t[1]) THEN '1' ELSE lower(t) END) AS tpl FROM items0 WHERE len(tok) >= 8
 ), docs AS (
-  SELECT doc_id, tok, list_transform(tok, lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN '<n>' WHEN list_contains(string_split('UNITS', ' '), lower(t)) THEN '<u>' WHEN t[1] <> lower(t[1]) THEN '<name>' ELSE lower(t) END) AS tpl
+  SELECT doc_id, tok, list_transform(tok, lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN '0' WHEN list_contains(string_split('UNITS', ' '), lower(t)) THEN '2' WHEN t[1] <> lower(t[1]) THEN '1' ELSE lower(t) END) AS tpl
   FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+|[$€£%°]') AS tok FROM documents WHERE text IS NOT NULL)
 ), item_win AS (
   SELECT item_id, text, p, array_to_string(list_slice(tpl, p, p + 7), ' ') AS w FROM (SELECT item_id, text, tpl, unnest(generate_series(1, len(tpl) - 7)) AS p FROM items)
-  WHERE 2 * len(list_filter(list_slice(tpl, p, p + 7), lambda x: x[1] = '<')) <= 8
+  WHERE 2 * len(list_filter(list_slice(tpl, p, p + 7), lambda x: x IN ('0', '1', '2'))) <= 8
 ), n_win AS (
   SELECT item_id, text, count(*) AS n_windows FROM item_win GROUP BY ALL
 ), doc_win AS (
@@ -147,7 +160,7 @@ WITH items0 AS (
 ), pair AS (
   SELECT DISTINCT h.doc_id, h.item_id, h.text, h.diagonal, i.tok[h.at + k.k] AS a, d.tok[h.at + k.k + h.diagonal] AS b
   FROM hit h CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS k) k JOIN items i ON i.item_id = h.item_id AND i.text = h.text JOIN docs d ON d.doc_id = h.doc_id
-  WHERE i.tpl[h.at + k.k][1] = '<'
+  WHERE i.tpl[h.at + k.k] IN ('0', '1', '2')
 ), good AS (
   SELECT h.doc_id, h.item_id, h.text, h.diagonal, coalesce(bool_and(p.a = p.b), true) AS exact
   FROM (SELECT DISTINCT doc_id, item_id, text, diagonal FROM hit) h LEFT JOIN pair p USING (doc_id, item_id, text, diagonal)

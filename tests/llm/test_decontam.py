@@ -39,3 +39,12 @@ def test_half_a_passage_is_enough(spark):
     rows = [(0, f"{noise()} {part(40)} {noise()}"), (1, f"{noise()} {part(20)} {noise()}"), (2, noise())]
     got = decontam.leaks(docs_of(spark, rows), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
     assert [(r.doc_id, r.n_windows, r.n_matched) for r in got] == [(0, 53, 33)]
+
+
+def test_templates_of_texts_are_those_of_their_tokens(spark):
+    from pyspark.sql import functions as F
+
+    texts = [ITEM, "iPhone 5kg 3,5 km/h McDonald ÉTÉ été 7.8.9 $5 5% A1 İx ǅ a1b2 KG Km 2nd", "", "Σ ß ÄÖ x́Y"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(decontam.templates(F.col("t")).alias("a"), F.transform(decontam.tokens(F.col("t")), decontam.template).alias("b")).collect():
+        assert r.a == r.b
