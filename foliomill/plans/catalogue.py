@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliomill.plans import core_queries, text_queries
+from foliomill.plans import core_queries, package_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **core_queries.QUERIES}
-ORACLE_SQL = {**text_queries.ORACLE_SQL, **core_queries.ORACLE_SQL}
+QUERIES = {**text_queries.QUERIES, **core_queries.QUERIES, **package_queries.QUERIES}
+ORACLE_SQL = {**text_queries.ORACLE_SQL, **core_queries.ORACLE_SQL, **package_queries.ORACLE_SQL}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import pytext as T
 from foliomill.operators import detect, quality, regions, render, text, values, vision
+from foliomill.plans.lineage import written as written_once
 from foliomill.sources import office, package, pdf, sheets
 from foliomill.sources.files import FILE_BATCH
 
@@ -123,7 +124,7 @@ def parse(sources: DataFrame, client: vision.Client | None = None, budget: int =
     texts = good.where("document_type = 'text'").select("doc_id", F.col("content").cast("string").alias("text"))
     written = text.blocks(texts)
     verbatim = good.where("document_type = 'markdown'").select("doc_id", F.lit(1).alias("block_index"), F.lit("markdown").alias("kind"), T.newlines(F.col("content").cast("string")).alias("text"))
-    raw = extracted(good.where("document_type IN ('docx', 'pptx', 'xlsx', 'pdf')"))
+    raw = written_once(extracted(good.where("document_type IN ('docx', 'pptx', 'xlsx', 'pdf')")))  # read by every branch below
     images = raw.where("kind = 'image'").unionByName(good.where("document_type = 'image'").select("doc_id", F.lit(1).alias("block_index"), F.lit("image").alias("kind"), F.col("content").alias("image")), allowMissingColumns=True)
     images = images.select("doc_id", "block_index", "text", F.sha2("image", 256).alias("digest"), "image")
     plain = raw.where(F.col("kind").isin(*render.KINDS)).select(*[c for c in render.SCHEMA if c in COLUMNS])
