@@ -66,8 +66,9 @@ def valid_target(target: Column) -> Column:
 
 def link(label: Column, target: Column) -> Column:
     """A Markdown link, or the label alone where the target is not safe."""
-    shown = F.concat(F.lit("["), escape(label), F.lit("]("), F.regexp_replace(target, TARGET, r"\\$1"), F.lit(")"))
-    return F.when(target.isNotNull() & safe_target(target), shown).otherwise(escape(label))
+    safe = F.coalesce(safe_target(target), F.lit(False))
+    tail = F.concat(F.lit("]("), F.regexp_replace(target, TARGET, r"\\$1"), F.lit(")"))
+    return F.concat(F.when(safe, "[").otherwise(""), escape(label), F.when(safe, tail).otherwise(""))
 
 
 def fenced(text: Column) -> Column:

@@ -61,29 +61,28 @@ def spanned_table(cells: Column, row_count: Column, header_rows: Column) -> Colu
     return _table(rows, header_rows)
 
 
-def list_item(inlines: Column, level: Column, ordinal: Column) -> Column:
-    content = inline_text(inlines)
+def list_item(content: Column, level: Column, ordinal: Column) -> Column:
     marker = F.when(ordinal.isNull(), F.lit("- ")).otherwise(F.concat(ordinal.cast("string"), F.lit(". ")))
     indent = F.repeat(F.lit("  "), F.coalesce(level, F.lit(0)))
     further = F.concat(F.lit("\n"), indent, F.repeat(F.lit(" "), F.length(marker)))
     return F.when(content == "", F.rtrim(F.concat(indent, marker))).otherwise(F.concat(indent, marker, F.replace(content, F.lit("\n"), further)))
 
 
-def heading(inlines: Column, level: Column) -> Column:
+def heading(content: Column, level: Column) -> Column:
     hashes = F.repeat(F.lit("#"), F.least(F.greatest(level, F.lit(1)), F.lit(6)))
-    return F.regexp_replace(F.concat(hashes, F.lit(" "), inline_text(inlines)), f"[{T.SPACE}]+$", "")
+    return F.regexp_replace(F.concat(hashes, F.lit(" "), content), f"[{T.SPACE}]+$", "")
 
 
 def value() -> Column:
-    """What one block renders to."""
+    """What one block renders to; `shown` holds its inlines, rendered once for all kinds."""
     c = F.col
     return (
         F.when(c("kind") == "text", T.escape(T.drop_trailing_newlines(c("text"))))
         .when(c("kind") == "markdown", T.drop_trailing_newlines(c("text")))
         .when(c("kind") == "code", T.fenced(c("text")))
-        .when(c("kind") == "paragraph", inline_text(c("inlines")))
-        .when(c("kind") == "heading", heading(c("inlines"), c("level")))
-        .when(c("kind") == "list_item", list_item(c("inlines"), c("level"), c("ordinal")))
+        .when(c("kind") == "paragraph", c("shown"))
+        .when(c("kind") == "heading", heading(c("shown"), c("level")))
+        .when(c("kind") == "list_item", list_item(c("shown"), c("level"), c("ordinal")))
         .when(c("kind") == "page_break", F.concat(F.lit("<!-- page: "), c("page_number").cast("string"), F.lit(" -->")))
         .when(c("kind") == "hard_break", F.lit("<!-- page-break -->"))
         .when((c("kind") == "table") & (c("header_rows") == 1), pipe_table(c("grid")))
@@ -112,7 +111,8 @@ def unsafe_links() -> Column:
 
 def rendered(blocks: DataFrame) -> DataFrame:
     """doc_id, block_index, is_item, value, usable, warnings."""
-    return with_schema(blocks).select("doc_id", "block_index", (F.col("kind") == "list_item").alias("is_item"), value().alias("value"), usable().alias("usable"), unsafe_links().alias("warnings"))
+    rows = with_schema(blocks).withColumn("shown", inline_text(F.col("inlines")))
+    return rows.select("doc_id", "block_index", (F.col("kind") == "list_item").alias("is_item"), value().alias("value"), usable().alias("usable"), unsafe_links().alias("warnings"))
 
 
 def assemble(rows: DataFrame, budget: int) -> DataFrame:
