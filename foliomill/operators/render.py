@@ -34,31 +34,31 @@ def pipe_table(grid: Column) -> Column:
     return F.array_join(F.concat(F.slice(shown, 1, 1), F.array(rule), F.slice(shown, 2, F.greatest(F.size(shown) - 1, F.lit(0)))), "\n")
 
 
-def _table(rows: Column, header_rows: Column) -> Column:
-    """Rows (array of struct head, body: the row as header and as body) in the frame of an HTML table."""
-    n = F.coalesce(header_rows, F.lit(0))
-    head = F.when(n > 0, F.concat(F.array(F.lit("<thead>")), F.transform(F.slice(rows, 1, n), lambda r: r["head"]), F.array(F.lit("</thead>")))).otherwise(F.array().cast("array<string>"))
-    body = F.transform(F.slice(rows, n + 1, F.greatest(F.size(rows) - n, F.lit(0))), lambda r: r["body"])
-    return F.array_join(F.concat(F.array(F.lit("<table>")), head, F.array(F.lit("<tbody>")), body, F.array(F.lit("</tbody>"), F.lit("</table>"))), "\n")
-
+def _table(rows: Column, n: Column) -> Column:
+    """Rows in the frame of an HTML table, the first `n` of them as its head."""
+    head = F.when(n > 0, F.concat(F.lit("<thead>\n"), F.array_join(F.slice(rows, 1, n), "\n"), F.lit("\n</thead>\n"))).otherwise("")
+    body = F.array_join(F.concat(F.slice(rows, n + 1, F.greatest(F.size(rows) - n, F.lit(0))), F.array(F.lit("</tbody>\n</table>"))), "\n")
+    return F.concat(F.lit("<table>\n"), head, F.lit("<tbody>\n"), body)
 
-def html_table(grid: Column, header_rows: Column) -> Column:
-    def row(cells: Column, tag: str) -> Column:
-        return F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit(f"<{tag}>"), T.html_cell(c), F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
 
-    return _table(F.transform(grid, lambda cells: F.struct(row(cells, "th").alias("head"), row(cells, "td").alias("body"))), header_rows)
+def _cell(tag: Column, attributes: Column, text: Column) -> Column:
+    return F.concat(F.lit("<"), tag, attributes, F.lit(">"), T.html_cell(text), F.lit("</"), tag, F.lit(">"))
 
 
-def spanned_table(cells: Column, row_count: Column, header_rows: Column) -> Column:
-    ordered = F.array_sort(cells)  # by row, then column
+def html_table(grid: Column, header_rows: Column) -> Column:
+    n = F.coalesce(header_rows, F.lit(0))
+    tag = lambda i: F.when(i < n, "th").otherwise("td")
+    rows = F.transform(grid, lambda cells, i: F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: _cell(tag(i), F.lit(""), c)), ""), F.lit("</tr>")))
+    return _table(rows, n)
 
-    def row(number: Column, tag: str) -> Column:
-        span = lambda name, value: F.when(value != 1, F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))).otherwise("")
-        shown = lambda c: F.concat(F.lit(f"<{tag}"), span("rowspan", c["row_span"]), span("colspan", c["column_span"]), F.lit(">"), T.html_cell(c["text"]), F.lit(f"</{tag}>"))
-        return F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(ordered, lambda c: c["row"] == number), shown), ""), F.lit("</tr>"))
 
-    rows = F.transform(F.sequence(F.lit(0), row_count - 1), lambda i: F.struct(row(i, "th").alias("head"), row(i, "td").alias("body")))
-    return _table(rows, header_rows)
+def spanned_table(cells: Column, row_count: Column, header_rows: Column) -> Column:
+    n, ordered = F.coalesce(header_rows, F.lit(0)), F.array_sort(cells)  # by row, then column
+    tag = lambda c: F.when(c["row"] < n, "th").otherwise("td")
+    span = lambda name, value: F.when(value != 1, F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))).otherwise("")
+    shown = lambda c: _cell(tag(c), F.concat(span("rowspan", c["row_span"]), span("colspan", c["column_span"])), c["text"])
+    rows = F.transform(F.sequence(F.lit(0), row_count - 1), lambda i: F.concat(F.lit("<tr>"), F.array_join(F.transform(F.filter(ordered, lambda c: c["row"] == i), shown), ""), F.lit("</tr>")))
+    return _table(rows, n)
 
 
 def list_item(content: Column, level: Column, ordinal: Column) -> Column:
