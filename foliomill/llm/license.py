@@ -207,8 +207,10 @@ def train(corpus: list[str]) -> Model:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model whose unknown class has learned from at most `sample` first paragraphs of documents, drawn by a hash of doc_id."""
-    drawn = F.xxhash64("doc_id", F.lit("licence sample"))
-    few = texts(docs).where("text IS NOT NULL").select(drawn.alias("drawn"), F.substring(F.regexp_extract("text", r"^[^\n]*", 0), 1, 2000).alias("paragraph"))
+    rows = texts(docs).where("text IS NOT NULL")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("licence sample")), F.lit(1 << 30))
+    share = min(1.0, 2 * sample / max(rows.count(), 1))  # so that tasks send few rows more than are taken
+    few = rows.where(drawn < int(share * (1 << 30)) + 1).select(drawn.alias("drawn"), F.substring(F.regexp_extract("text", r"^[^\n]*", 0), 1, 2000).alias("paragraph"))
     return train([r.paragraph for r in few.orderBy("drawn", "paragraph").limit(sample).collect()])
 
 
