@@ -3,15 +3,15 @@
 1. Texts and benchmark items become tokens: numbers, words, unit signs. In the template of a text a number is written 0, a
    capitalised word 1, a unit 2; every other token is its lower case.
 2. Templates are cut into windows of `WIDTH` tokens (an item shorter than that is one window), which are hashed and joined.
-   Windows of items of which over half the tokens are placeholders say too little and are left out; an item that has no other
-   windows is compared by its plain lower-case tokens instead.
+   Windows of items of which over half the tokens are placeholders say too little and are left out. Windows of plain lower-case
+   tokens are made of every item as well: they find copies whose case was changed, of which the templates differ.
 3. Matches on one alignment of a document with an item are put together, and their slots checked: each value of the item must
-   stand for one value in the document throughout. Alignments that fail are no leak.
-4. A document leaks an item if alignments that pass hold at least `COVERAGE` of the item's windows.
+   stand for one value in the document throughout. Alignments that fail are no leak, by plain windows neither.
+4. A document leaks an item if alignments that pass hold at least `COVERAGE` of the item's template windows or of its plain ones.
 
 Input: documents (doc_id, text), benchmark (item_id, text). Result: a row for each document and item leaked: doc_id, item_id,
-n_windows (of the item), n_matched (distinct), coverage, exact (every slot has the item's own value). Null and empty texts
-leak nothing and are not leaked. Null ids are kept. Items with the same text are all reported; a repeated row of an item counts
+n_windows (of the item), n_matched (distinct), coverage, exact (every slot has the item's own value), by templates if these
+reach `COVERAGE`, else by plain windows, which are exact but for case. Null and empty texts leak nothing and are not leaked. Null ids are kept. Items with the same text are all reported; a repeated row of an item counts
 once, and so does a repeated row of a document. Empty tables give an empty table. Other columns are ignored.
 """
 
@@ -81,7 +81,7 @@ def item_windows(items: DataFrame, width: int, plain: bool) -> DataFrame:
 
 
 def matches(docs: DataFrame, items: DataFrame, width: int, plain: bool) -> DataFrame:
-    """slot, mark, item_id, item_mark, n_windows, diagonal, ats: the windows found, by document, item and alignment."""
+    """slot, mark, item_id, item_mark, n_windows, diagonal, ats, width, plain: the windows found, by document, item and alignment."""
     windows = item_windows(items, width, plain).where("telling")
     n = windows.groupBy(F.col("item_id").alias("i"), F.col("mark").alias("m")).agg(F.count("*").alias("n_windows"))
     windows = windows.join(n, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("item_id", F.col("mark").alias("item_mark"), "at", "hash", "n_windows")
@@ -90,20 +90,22 @@ def matches(docs: DataFrame, items: DataFrame, width: int, plain: bool) -> DataF
     tokened = docs.select("slot", "mark", (tokens(F.lower("text")) if plain else templates(F.col("text"))).alias("written"))
     found = with_hashes(tokened, F.col("written"), width).select("slot", "mark", F.posexplode_outer("hashes").alias("pos", "hash"))
     hits = found.join(windows, "hash")
-    return hits.groupBy("slot", "mark", "item_id", "item_mark", "n_windows", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+    return hits.groupBy("slot", "mark", "item_id", "item_mark", "n_windows", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats")).withColumns({"width": F.lit(width), "plain": F.lit(plain)})
 
 
-def aligned(found: DataFrame, docs: DataFrame, items: DataFrame, width: int, plain: bool) -> DataFrame:
-    """The rows of `found` whose slots are consistent, with `exact`."""
-    by_doc = docs.join(found, ["slot", "mark"]).select("slot", "mark", "item_id", "item_mark", "n_windows", "diagonal", "ats", tokens(F.col("text")).alias("doc_tokens"))
+def aligned(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of `found` on alignments whose slots are consistent, with `exact`."""
+    by_doc = docs.join(found, ["slot", "mark"]).select(*found.columns, tokens(F.col("text")).alias("doc_tokens"))
     theirs = items.select(F.col("item_id").alias("i"), F.col("mark").alias("m"), "tokens")
     both = by_doc.join(theirs, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_mark") == F.col("m")))
-    held = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + width - 1))))
+    held = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("width") - 1))))
     pairs = F.transform(held, lambda p: F.struct(F.get("tokens", p).alias("a"), F.get("doc_tokens", p + F.col("diagonal")).alias("b")))
-    pairs = F.array_distinct(F.filter(pairs, lambda x: F.lit(False) if plain else is_slot(x["a"])))
+    pairs = F.array_distinct(F.filter(pairs, lambda x: ~F.col("plain") & is_slot(x["a"])))
     both = both.withColumn("pairs", pairs)
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
-    return both.where(consistent).select("slot", "mark", "item_id", "item_mark", "n_windows", "ats", F.forall("pairs", lambda x: x["a"] == x["b"]).alias("exact"))
+    row = F.struct("plain", "n_windows", "ats", F.forall("pairs", lambda x: x["a"] == x["b"]).alias("exact"))
+    whole = both.groupBy("slot", "mark", "item_id", "item_mark", "diagonal").agg(F.bool_and(consistent).alias("consistent"), F.collect_list(row).alias("rows"))
+    return whole.where("consistent").select("slot", "mark", "item_id", "item_mark", F.explode("rows").alias("row")).select("slot", "mark", "item_id", "item_mark", "row.*")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
@@ -113,18 +115,20 @@ def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, covera
     telling = item_windows(items.where(F.size("tokens") >= width), width, False).groupBy("item_id", "mark").agg(F.bool_or("telling").alias("t"))
     short = item_windows_short(items, width)
     marked = telling.unionByName(short) if short is not None else telling
-    items = items.join(marked.select(F.col("item_id").alias("i"), F.col("mark").alias("m"), "t"), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("item_id", "mark", "tokens", F.least(F.size("tokens"), F.lit(width)).alias("width"), F.expr("NOT t").alias("plain"))
+    items = items.join(marked.select(F.col("item_id").alias("i"), F.col("mark").alias("m"), "t"), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("item_id", "mark", "tokens", F.least(F.size("tokens"), F.lit(width)).alias("width"), "t")
     items = written(items)  # a small table that is looked at many times
-    out = None
-    for w, plain in sorted((r.width, r.plain) for r in items.select("width", "plain").distinct().collect()):  # at most 2 x width kinds
-        some = items.where((F.col("width") == w) & (F.col("plain") == plain)).drop("width", "plain")
-        part = aligned(matches(docs, some, w, plain), docs, some, w, plain)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    found = None
+    for w, t in sorted((r.width, r.t) for r in items.select("width", F.explode(F.array(F.lit(False), "t")).alias("t")).distinct().collect()):  # at most 2 x width kinds
+        some = items.where((F.col("width") == w) & (F.col("t") | F.lit(not t))).drop("width", "t")
+        part = matches(docs, some, w, not t)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_matched int, coverage double, exact boolean")
-    grouped = out.groupBy("slot", "mark", "item_id", "item_mark", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n_matched"), F.bool_and("exact").alias("exact"))
+    kinds = aligned(found, docs, items).groupBy("slot", "mark", "item_id", "item_mark", "plain", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n_matched"), F.bool_and("exact").alias("exact"))
     share = F.col("n_matched") / F.col("n_windows")
-    return grouped.where(share >= coverage).select(F.when(F.col("slot") != NO_ID, F.col("slot")).alias("doc_id"), "item_id", "n_windows", "n_matched", F.round(share, 6).alias("coverage"), "exact", "slot", "mark")
+    reached = kinds.where(share >= coverage).withColumn("coverage", F.round(share, 6))
+    best = reached.groupBy("slot", "mark", "item_id", "item_mark").agg(F.min_by(F.struct("n_windows", "n_matched", "coverage", "exact"), "plain").alias("best"))
+    return best.select(F.when(F.col("slot") != NO_ID, F.col("slot")).alias("doc_id"), "item_id", "best.*", "slot", "mark")
 
 
 def item_windows_short(items: DataFrame, width: int) -> DataFrame | None:

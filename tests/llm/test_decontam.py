@@ -48,3 +48,12 @@ def test_templates_of_texts_are_those_of_their_tokens(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select(decontam.templates(F.col("t")).alias("a"), F.transform(decontam.tokens(F.col("t")), decontam.template).alias("b")).collect():
         assert r.a == r.b
+
+
+def test_copies_whose_case_was_changed_are_caught(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    other = "The Mayor Of Rome And The Queen Of Spain Met In May To Sign A Treaty On The Fish Of The Sea"
+    rows = [(1, ITEM.upper()), (2, "so they say: " + ITEM.lower() + " and no more"), (3, ITEM.title()), (4, ITEM), (5, other.upper()), (6, other)]
+    docs = docs_of(spark, rows)
+    assert sorted((r.doc_id, r.item_id, r.exact) for r in decontam.leaks(docs, bench).collect()) == [(i, 1, True) for i in (1, 2, 3, 4)]
+    assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {5, 6}
