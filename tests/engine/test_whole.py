@@ -32,3 +32,19 @@ def test_every_overlapping_pair_is_found(spark):
                 found[a, b] = i / ((r1 - l1) * (b1 - t1) + (r2 - l2) * (b2 - t2) - i)
     got = {(r.a, r.b): r.iou for r in catalogue.QUERIES["bbox_pairs_iou"](spark, SF).collect()}
     assert got.keys() == found.keys() and all(abs(got[k] - found[k]) < 1e-8 for k in found)
+
+
+def test_every_line_is_looked_at(spark):
+    import re
+
+    want, space = [], r"[^\S\n]"
+    for r in rows_of("documents"):
+        i = r["doc_id"]
+        mark = {0: "- ", 1: f"{i % 50}. ", 2: "• "}.get(i % 4, "")
+        for n, line in enumerate(r["text"].split("\n")):
+            b = re.fullmatch(rf"[•◦▪‣⁃*+-]{space}+(.+)", mark + line)
+            o = re.fullmatch(rf"([0-9]{{1,9}})[.)]{space}+(.+)", mark + line)
+            want.append((i, n, "bullet" if b else "ordered" if o else None, int(o[1]) if o else None, b[1] if b else o[2] if o else None))
+    got = [tuple(r[c] for c in ("doc_id", "line", "kind", "ordinal", "content")) for r in catalogue.QUERIES["list_markers"](spark, SF).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len(got) > len(rows_of("documents"))
