@@ -48,3 +48,33 @@ def test_every_line_is_looked_at(spark):
     got = [tuple(r[c] for c in ("doc_id", "line", "kind", "ordinal", "content")) for r in catalogue.QUERIES["list_markers"](spark, SF).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert len(got) > len(rows_of("documents"))
+
+
+def flooded():
+    """sheet, row, col, region: of every event's cell."""
+    cells = {(r["event_type"], r["user_id"], r["event_id"] % 37) for r in rows_of("events")}
+    out, n = {}, {}
+    for cell in sorted(cells):
+        if cell not in out:
+            out[cell], todo = n.setdefault(cell[0], 0), [cell]
+            n[cell[0]] += 1
+            while todo:
+                s, r, c = todo.pop()
+                for near in ((s, r + 1, c), (s, r - 1, c), (s, r, c + 1), (s, r, c - 1)):
+                    if near in cells and near not in out:
+                        out[near] = out[cell]
+                        todo.append(near)
+    return out
+
+
+def test_regions_are_those_of_all_cells(spark):
+    want = flooded()
+    assert {(r.sheet, r.row, r.col): r.region for r in catalogue.QUERIES["grid_components"](spark, SF).collect()} == want
+    grids = {}
+    for key in {(s, n) for (s, _, _), n in want.items()}:
+        own = [(r, c) for (s, r, c), n in want.items() if (s, n) == key]
+        if len(own) > 2:
+            rows, cols = zip(*own)
+            line = lambda r: "|".join(f"{r},{c}" if (key[0], r, c) in want else "" for c in range(min(cols), max(cols) + 1))  # noqa: B023, E731
+            grids[key] = "\n".join(line(r) for r in range(min(rows), max(rows) + 1))
+    assert {(r.sheet, r.region): r.grid for r in catalogue.QUERIES["region_densify"](spark, SF).collect()} == grids
