@@ -4,11 +4,11 @@ A paragraph's features are its word unigrams and bigrams. Sparse multinomial log
 operator) is fitted on variants of the licence templates below (words dropped, words of the corpus around them, holders and
 years) and, for the class `unknown`, on paragraphs drawn from the corpus and on sentences that use the words of licences for
 other things. One temperature, fitted on examples kept aside, calibrates all classes, `unknown` included. A prediction stands
-only if a template of the family confirms it: `CONFIRMED` of the template's five-word shingles must be in the paragraph.
+only if a template of the family confirms it: `CONFIRMED` of the template's five-word shingles must be in the paragraph; a template of fewer words must be in it whole.
 
 A paragraph ends at a blank line, at a line end behind closing punctuation, and at a line end before anything but a small
 letter; so wrapped lines stay together. Paragraphs that share no content word with any template cannot be confirmed, for every
-five-word shingle of a template has one; they are `unknown` without being scored.
+shingle of a template has one; they are `unknown` without being scored.
 
 Input: documents (doc_id, text). Result: a row for each document: doc_id, n_paragraphs, n_licensed (confirmed paragraphs),
 families (the distinct ones in order, joined by |; empty if none), family (of the most probable confirmed paragraph, else
@@ -103,6 +103,7 @@ TEMPLATES = {
     "Proprietary": [
         "All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited",
         "This document is proprietary and confidential and may not be reproduced without permission",
+        "All rights reserved",
     ],
 }
 #: Sentences that license nothing.
@@ -171,17 +172,24 @@ def examples(corpus: list[str]) -> tuple[list[list[str]], list[str]]:
     rows: list[list[str]] = []
     of: list[str] = []
     for family, some in TEMPLATES.items():
+        brief = [words_of(t) for t in some if len(words_of(t)) < SHINGLE]
         for t in some:
             words = words_of(t)
+            if words in brief and len(brief) < len(some):  # shares the variants of the longer one that begins with it
+                continue
+            start = next((b for b in brief if words[: len(b)] == b), None)
             for k in range(VARIANTS):
                 kept = [w for w in words if k < 4 or r.random() > 0.06] or words
+                if start and k >= VARIANTS // 2:
+                    kept = start
                 around = filler[r.integers(len(filler))][: int(r.integers(0, 25))] if k % 2 else []
                 holder = ["copyright", str(r.integers(1990, 2030)), "the", "authors"] if k % 5 == 4 else []
                 rows.append([*around, *holder, *kept] if k % 4 < 2 else [*holder, *kept, *around])
                 of.append(family)
     own = [t for some in SHINGLES.values() for s in some for t in s]
+    short = [t for t in own if len(t) < SHINGLE]
     for words in filler + [words_of(t) for t in OTHERS for _ in range(VARIANTS)]:
-        if not shingles(words).intersection(own):
+        if not shingles(words).intersection(own) and not any(holds(words, t) for t in short):
             rows.append(words)
             of.append(UNKNOWN)
     return rows, of

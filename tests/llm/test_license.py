@@ -40,3 +40,15 @@ def test_a_changed_template_is_confirmed_by_its_share():
     words = lic.words_of("This work is licensed under the GNU General Public License version 3")
     assert lic.similarity(words, "GPL") == 1
     assert lic.similarity(words[:6], "GPL") < lic.CONFIRMED
+
+
+def test_licence_lines_of_the_documents_are_found(spark):
+    lines = {"All rights reserved.": "Proprietary", "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL"}
+    prose = ["The ering onti the tion goes on.", "Interon the erting is on the tier."]
+    rows = [(i, "\n".join([prose[0], line, prose[1]])) for i, line in enumerate(lines)] + [(100 + i, line) for i, line in enumerate(lines)]
+    rows += [(200 + i, f"{prose[i % 2]} And {i} more ertings are on the way.") for i in range(50)] + [(300, "All rights of the reserved seats are gone.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lic.scan(docs, lic.fit(docs)).collect()}
+    assert [got[n + i].family for n in (0, 100) for i in range(len(lines))] == [*lines.values()] * 2
+    assert all(got[n + i].n_licensed == 1 for n in (0, 100) for i in range(len(lines)))
+    assert got[300].family == "unknown" and all(got[200 + i].n_licensed == 0 for i in range(50))
