@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from foliomill.llm.common import small_batches, texts
+from foliomill.llm.common import short, texts
 
 #: Words up to so many parts are scanned, in arrays of these widths; longer ones use a heap.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 128)
@@ -272,13 +272,12 @@ def vocabulary() -> str:
 def encode_documents(docs: DataFrame, path: str | None = None, keep_text: bool = False, keep_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, then ids (array of int) and decoded (string) as asked for."""
     path = path or vocabulary()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         digits = {i: str(i) for i in bpe.tokens}
         encoded = Cache(bpe, lambda ids: " ".join([digits[i] for i in ids]))
-        for batch in batches:
+        for batch in short(batches):
             rows: list[tuple] = []
             texts_ = [words_of(t or "") for t in batch.column(1).to_pylist()]
             for words in encoded.of(texts_):  # a run without white space has at least one token

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch handed to Python; texts are long, so batches are kept short.
+#: Rows that a Python function looks at together; texts are long, so these are few. Arrow batches are bounded in bytes by Spark.
 BATCH_ROWS = 256
 #: A table is broadcast only when it was counted and has no more rows than this.
 BROADCAST_ROWS = 20_000
-#: The slot of rows without an id.
-NO_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches short, so that a batch of long texts fits in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def short(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """`batches` cut to `rows` rows or fewer; no setting of the session is touched, for plans that have yet to run share it."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
 
 
 def texts(docs: DataFrame) -> DataFrame:
@@ -29,10 +33,16 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def slots(docs: DataFrame, *others: str) -> DataFrame:
-    """slot and mark name a row: its id and a hash of its text, so that rows that share an id are told apart."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("slot"), F.hash(text).alias("mark"), text.alias("text"), *others)
+def identity(doc_id: Column, text: Column) -> list[Column]:
+    """slot and mark: 128 bits that name a row by its id and its whole text. Only rows that are equal in both share them."""
+    held = F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), text
+    return [F.xxhash64(*held).alias("slot"), F.xxhash64(F.lit("mark"), *reversed(held)).alias("mark")]
+
+
+def slots(docs: DataFrame, *others: str | Column) -> DataFrame:
+    """doc_id, slot, mark (see `identity`), text (null is empty), then `others`."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(doc_id.alias("doc_id"), *identity(doc_id, text), text.alias("text"), *others)
 
 
 def remainder(doc_id: str, parts: int):
@@ -41,24 +51,33 @@ def remainder(doc_id: str, parts: int):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one in the temporary folder where the setting is absent (local runs)."""
+    """The folder named in spark.checkpoint.dir. Where the setting is absent, a local session gets a temporary folder, and any
+    other master an error: executors would write where nobody else reads."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if not at and held.isDefined():
+        at = held.get()
     if not at:
-        held = sc._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else None
-    if not at:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="foliomill-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not held.isDefined():
         sc.setCheckpointDir(at)
     return at
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read again: a cut of the lineage that survives lost executors."""
+    """`df` written to the shared folder and read again: a cut of the lineage that survives lost executors. The table goes when
+    the session's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/foliomill/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df`, marked for broadcast if it was counted and has no more than `rows` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

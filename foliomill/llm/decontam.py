@@ -6,13 +6,19 @@
    Windows of items of which over half the tokens are placeholders say too little and are left out. Windows of plain lower-case
    tokens are made of every item as well: they find copies whose case was changed, of which the templates differ.
 3. Matches on one alignment of a document with an item are put together, and their slots checked: each value of the item must
-   stand for one value in the document throughout. Alignments that fail are no leak, by plain windows neither.
+   stand for one value in the document throughout (two values of the item may become the same one). Alignments that fail are
+   no leak, by plain windows neither.
 4. A document leaks an item if alignments that pass hold at least `COVERAGE` of the item's template windows or of its plain ones.
 
+Texts are scanned once for windows of all lengths. What was found is counted: if it is little, it is broadcast to the texts for
+the check of slots, else both sides are shuffled.
+
 Input: documents (doc_id, text), benchmark (item_id, text). Result: a row for each document and item leaked: doc_id, item_id,
 n_windows (of the item), n_matched (distinct), coverage, exact (every slot has the item's own value), by templates if these
-reach `COVERAGE`, else by plain windows, which are exact but for case. Null and empty texts leak nothing and are not leaked. Null ids are kept. Items with the same text are all reported; a repeated row of an item counts
-once, and so does a repeated row of a document. Empty tables give an empty table. Other columns are ignored.
+reach `COVERAGE`, else by plain windows, which are exact but for case. Null and empty texts leak nothing and are not leaked.
+Null ids are kept; documents are told apart by 128 bits of id and text. Items with the same text are all reported; a repeated
+row of an item counts once, and so does a repeated row of a document. Empty tables give an empty table. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import BROADCAST_ROWS, NO_ID, slots, written
+from foliomill.llm.common import few, slots, written
 
 WIDTH, COVERAGE = 8, 0.5
 #: What a token is, and the words taken for units.
@@ -34,8 +40,7 @@ def tokens(text: Column) -> Column:
 
 def template(token: Column) -> Column:
     """What stands for a token in a template: 0 a number, 2 a unit, 1 a capitalised word, else its lower case."""
-    first = F.substring(token, 1, 1)
-    return F.when(first.between("0", "9"), F.lit("0")).when(F.lower(token).isin(UNITS), F.lit("2")).when(first != F.lower(first), F.lit("1")).otherwise(F.lower(token))
+    return F.when(F.substring(token, 1, 1).between("0", "9"), F.lit("0")).when(F.lower(token).isin(UNITS), F.lit("2")).when(token.rlike(r"^[\p{Lu}\p{Lt}]"), F.lit("1")).otherwise(F.lower(token))
 
 
 def is_slot(token: Column) -> Column:
@@ -52,18 +57,20 @@ def templates(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(out), F.lit(inside + "+|[0-2]"), F.lit(0))
 
 
-def with_hashes(rows: DataFrame, tokens_: Column, width: int) -> DataFrame:
-    """`rows` with `hashes`: of the `width` tokens from each position on. Hashes of longer windows are made of those of shorter
-    ones, and each length is a column of its own, so that none is computed twice. Explode them by an outer function: an inner
-    one brings a filter on their size, which is pushed down and computes every length anew."""
-    rows, done, k = rows.withColumn("_step", F.transform(tokens_, lambda t: F.xxhash64(t))), 0, 1
-    while done < width:
-        if width & k:
-            rows = rows.withColumn("hashes", joined("hashes", "_step", done) if done else F.col("_step"))
-            done += k
-        if done < width:
-            rows, k = rows.withColumn("_step", joined("_step", "_step", k)), 2 * k
-    return rows.drop("_step")
+def with_hashes(rows: DataFrame, tokens_: Column, widths: list[int], name: str) -> DataFrame:
+    """`rows` with a column `name`_w for each width w: hashes of the w tokens from each position on. Hashes of longer windows are
+    made of those of shorter ones, and each length is a column of its own, so that none is computed twice. Explode them by an
+    outer function: an inner one brings a filter on their size, which is pushed down and computes every length anew."""
+    rows, k = rows.withColumn(f"{name}_step", F.transform(tokens_, lambda t: F.xxhash64(t))), 1
+    done = dict.fromkeys(widths, 0)
+    while True:
+        for w in widths:
+            if w & k:
+                rows = rows.withColumn(f"{name}_{w}", joined(f"{name}_{w}", f"{name}_step", done[w]) if done[w] else F.col(f"{name}_step"))
+                done[w] += k
+        if all(done[w] == w for w in widths):
+            return rows.drop(f"{name}_step")
+        rows, k = rows.withColumn(f"{name}_step", joined(f"{name}_step", f"{name}_step", k)), 2 * k
 
 
 def joined(left: str, right: str, by: int) -> Column:
@@ -72,105 +79,123 @@ def joined(left: str, right: str, by: int) -> Column:
 
 
 def item_windows(items: DataFrame, width: int, plain: bool) -> DataFrame:
-    """item_id, at, hash, telling: the windows of some items with their tokens."""
+    """item, at, hash, telling: the windows of some items with their tokens."""
     slots_ = F.transform("tokens", lambda t: is_slot(t).cast("int"))
-    rows = with_hashes(items.select("item_id", "mark", slots_.alias("slots"), F.transform("tokens", lambda t: F.lower(t) if plain else template(t)).alias("written")), F.col("written"), width)
-    rows = rows.select("item_id", "mark", "slots", F.posexplode_outer("hashes").alias("at", "hash"))
-    few = F.aggregate(F.slice("slots", F.col("at") + 1, width), F.lit(0), lambda s, x: s + x)
-    return rows.where("hash IS NOT NULL").select("item_id", "mark", "at", "hash", (F.lit(plain) | (2 * few <= width)).alias("telling"))
-
-
-def matches(docs: DataFrame, items: DataFrame, width: int, plain: bool) -> DataFrame:
-    """slot, mark, item_id, item_mark, n_windows, diagonal, ats, width, plain: the windows found, by document, item and alignment."""
-    windows = item_windows(items, width, plain).where("telling")
-    n = windows.groupBy(F.col("item_id").alias("i"), F.col("mark").alias("m")).agg(F.count("*").alias("n_windows"))
-    windows = windows.join(n, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("item_id", F.col("mark").alias("item_mark"), "at", "hash", "n_windows")
-    if windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        windows = F.broadcast(windows)
-    tokened = docs.select("slot", "mark", (tokens(F.lower("text")) if plain else templates(F.col("text"))).alias("written"))
-    found = with_hashes(tokened, F.col("written"), width).select("slot", "mark", F.posexplode_outer("hashes").alias("pos", "hash"))
-    hits = found.join(windows, "hash")
-    return hits.groupBy("slot", "mark", "item_id", "item_mark", "n_windows", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats")).withColumns({"width": F.lit(width), "plain": F.lit(plain)})
+    rows = with_hashes(items.select("item", slots_.alias("slots"), F.transform("tokens", lambda t: F.lower(t) if plain else template(t)).alias("written")), F.col("written"), [width], "h")
+    rows = rows.select("item", "slots", F.posexplode_outer(f"h_{width}").alias("at", "hash"))
+    few_ = F.aggregate(F.slice("slots", F.col("at") + 1, width), F.lit(0), lambda s, x: s + x)
+    return rows.where("hash IS NOT NULL").select("item", "at", "hash", (F.lit(plain) | (2 * few_ <= width)).alias("telling"))
+
+
+def numbered(benchmark: DataFrame, width: int) -> DataFrame:
+    """item (a number of its own), item_id, tokens, width (of its windows), templates (whether any template window tells enough);
+    written, for it is small and looked at many times."""
+    rows = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    rows = written(rows.select(F.monotonically_increasing_id().alias("item"), "item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0))
+    slots_ = F.aggregate(F.transform("tokens", lambda t: is_slot(t).cast("int")), F.lit(0), lambda s, x: s + x)
+    brief = rows.where(F.size("tokens") < width).select("item", (2 * slots_ <= F.size("tokens")).alias("templates"))
+    long = item_windows(rows.where(F.size("tokens") >= width), width, False).groupBy("item").agg(F.bool_or("telling").alias("templates"))
+    return written(rows.join(brief.unionByName(long), "item").select("item", "item_id", "tokens", F.least(F.size("tokens"), F.lit(width)).alias("width"), "templates"))
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """slot, mark, item, n_windows, diagonal, ats, width, plain: the windows found, by document, item and alignment."""
+    kinds = items.select("width", F.explode(F.array(F.lit(True), ~F.col("templates"))).alias("plain")).distinct()
+    kinds = sorted((r.plain, r.width) for r in kinds.collect())  # at most 2 x WIDTH
+    windows = None
+    for number, (plain, width) in enumerate(kinds):
+        some = items.where((F.col("width") == width) & (F.col("templates") | F.lit(plain)))
+        part = item_windows(some, width, plain).where("telling").select("item", "at", "hash", F.lit(number).alias("kind"), F.lit(width).alias("width"), F.lit(plain).alias("plain"))
+        windows = part if windows is None else windows.unionByName(part)
+    windows = few(written(windows.join(windows.groupBy("item", "kind").agg(F.count("*").alias("n_windows")), ["item", "kind"])))
+    rows = docs.select("slot", "mark", "text")
+    for plain in sorted({p for p, _ in kinds}):
+        rows = rows.withColumn("written", tokens(F.lower("text")) if plain else templates(F.col("text")))
+        rows = with_hashes(rows, F.col("written"), [w for p, w in kinds if p == plain], "plain" if plain else "template")
+    hashes = [f"{'plain' if p else 'template'}_{w}" for p, w in kinds]
+    sizes = [F.greatest(F.size(h), F.lit(0)).alias(f"n_{i}") for i, h in enumerate(hashes)]
+    found = rows.select("slot", "mark", *sizes, F.posexplode_outer(F.concat(*hashes)).alias("pos", "hash"))
+    kind, before = F.lit(0), F.lit(0)  # of which kind a window is follows from its place
+    start = F.lit(0)
+    for i in range(len(kinds) - 1):
+        before = before + F.col(f"n_{i}")
+        kind, start = F.when(F.col("pos") >= before, i + 1).otherwise(kind), F.when(F.col("pos") >= before, before).otherwise(start)
+    hits = found.select("slot", "mark", "hash", kind.alias("kind"), (F.col("pos") - start).alias("pos")).join(windows, ["hash", "kind"])
+    return hits.groupBy("slot", "mark", "item", "n_windows", "width", "plain", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
 
 
 def aligned(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of `found` on alignments whose slots are consistent, with `exact`."""
-    by_doc = docs.join(found, ["slot", "mark"]).select(*found.columns, tokens(F.col("text")).alias("doc_tokens"))
-    theirs = items.select(F.col("item_id").alias("i"), F.col("mark").alias("m"), "tokens")
-    both = by_doc.join(theirs, F.col("item_id").eqNullSafe(F.col("i")) & (F.col("item_mark") == F.col("m")))
+    """The rows of `found` on alignments whose slots are consistent, with doc_id, item_id and `exact`."""
+    by_doc = docs.join(few(found), ["slot", "mark"]).select("doc_id", *found.columns, tokens(F.col("text")).alias("doc_tokens"))
+    both = by_doc.join(few(items.select("item", "item_id", "tokens")), "item")
     held = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("width") - 1))))
     pairs = F.transform(held, lambda p: F.struct(F.get("tokens", p).alias("a"), F.get("doc_tokens", p + F.col("diagonal")).alias("b")))
     pairs = F.array_distinct(F.filter(pairs, lambda x: ~F.col("plain") & is_slot(x["a"])))
     both = both.withColumn("pairs", pairs)
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
     row = F.struct("plain", "n_windows", "ats", F.forall("pairs", lambda x: x["a"] == x["b"]).alias("exact"))
-    whole = both.groupBy("slot", "mark", "item_id", "item_mark", "diagonal").agg(F.bool_and(consistent).alias("consistent"), F.collect_list(row).alias("rows"))
-    return whole.where("consistent").select("slot", "mark", "item_id", "item_mark", F.explode("rows").alias("row")).select("slot", "mark", "item_id", "item_mark", "row.*")
+    whole = both.groupBy("slot", "mark", "doc_id", "item", "item_id", "diagonal").agg(F.bool_and(consistent).alias("consistent"), F.collect_set(row).alias("rows"))
+    return whole.where("consistent").select("slot", "mark", "doc_id", "item", "item_id", F.explode("rows").alias("row")).select("slot", "mark", "doc_id", "item", "item_id", "row.*")
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH, coverage: float = COVERAGE) -> DataFrame:
     """A row for each document and benchmark item that it leaks."""
-    docs = slots(documents)
-    items = benchmark.select("item_id", F.hash(F.coalesce("text", F.lit(""))).alias("mark"), tokens(F.coalesce("text", F.lit(""))).alias("tokens")).where(F.size("tokens") > 0).distinct()
-    telling = item_windows(items.where(F.size("tokens") >= width), width, False).groupBy("item_id", "mark").agg(F.bool_or("telling").alias("t"))
-    short = item_windows_short(items, width)
-    marked = telling.unionByName(short) if short is not None else telling
-    items = items.join(marked.select(F.col("item_id").alias("i"), F.col("mark").alias("m"), "t"), F.col("item_id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("item_id", "mark", "tokens", F.least(F.size("tokens"), F.lit(width)).alias("width"), "t")
-    items = written(items)  # a small table that is looked at many times
-    found = None
-    for w, t in sorted((r.width, r.t) for r in items.select("width", F.explode(F.array(F.lit(False), "t")).alias("t")).distinct().collect()):  # at most 2 x width kinds
-        some = items.where((F.col("width") == w) & (F.col("t") | F.lit(not t))).drop("width", "t")
-        part = matches(docs, some, w, not t)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return documents.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_matched int, coverage double, exact boolean")
-    kinds = aligned(found, docs, items).groupBy("slot", "mark", "item_id", "item_mark", "plain", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n_matched"), F.bool_and("exact").alias("exact"))
+    docs, items = slots(documents), numbered(benchmark, width)
+    if items.isEmpty():
+        kind = benchmark.schema["item_id"].dataType.simpleString()
+        return documents.sparkSession.createDataFrame([], f"doc_id long, item_id {kind}, n_windows long, n_matched int, coverage double, exact boolean, slot long, mark long")
+    rows = aligned(written(matches(docs, items)), docs, items)
+    kinds = rows.groupBy("slot", "mark", "doc_id", "item", "item_id", "plain", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("n_matched"), F.bool_and("exact").alias("exact"))
     share = F.col("n_matched") / F.col("n_windows")
     reached = kinds.where(share >= coverage).withColumn("coverage", F.round(share, 6))
-    best = reached.groupBy("slot", "mark", "item_id", "item_mark").agg(F.min_by(F.struct("n_windows", "n_matched", "coverage", "exact"), "plain").alias("best"))
-    return best.select(F.when(F.col("slot") != NO_ID, F.col("slot")).alias("doc_id"), "item_id", "best.*", "slot", "mark")
-
-
-def item_windows_short(items: DataFrame, width: int) -> DataFrame | None:
-    """item_id, mark, t for items under `width` tokens: whether the template of the whole item tells enough."""
-    n = F.size("tokens")
-    few = F.aggregate(F.transform("tokens", lambda t: is_slot(t).cast("int")), F.lit(0), lambda s, x: s + x)
-    return items.where(n < width).select("item_id", "mark", (2 * few <= n).alias("t"))
+    best = reached.groupBy("slot", "mark", "doc_id", "item", "item_id").agg(F.min_by(F.struct("n_windows", "n_matched", "coverage", "exact"), "plain").alias("best"))
+    return best.select("doc_id", "item_id", "best.*", "slot", "mark")
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `documents` that leak no item, with all their columns."""
-    whole = slots(documents, F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole")).drop("text")
-    return whole.join(leaks(documents, benchmark).select("slot", "mark").distinct(), ["slot", "mark"], "left_anti").select("whole.*")
+    whole = slots(documents, F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("whole")).select("slot", "mark", "whole")
+    found = written(leaks(documents, benchmark).select("slot", "mark").distinct())
+    return whole.join(few(found), ["slot", "mark"], "left_anti").select("whole.*")
 
 
+#: Items of `WIDTH` tokens and more; shorter ones are tested beside.
 SQL = r"""
-WITH items0 AS (
-  SELECT DISTINCT item_id, text, regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+|[$€£%°]') AS tok FROM benchmark WHERE text IS NOT NULL
+WITH item_tok AS (
+  SELECT DISTINCT item_id, text, regexp_extract_all(text, 'TOKEN') AS tok FROM benchmark WHERE text IS NOT NULL
+), doc_tok AS (
+  SELECT doc_id, regexp_extract_all(text, 'TOKEN') AS tok FROM documents WHERE text IS NOT NULL
 ), items AS (
-  SELECT item_id, text, tok, list_transform(tok, lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN '0' WHEN list_contains(string_split('UNITS', ' '), lower(t)) THEN '2' WHEN t[1] <> lower(t[1]) THEN '1' ELSE lower(t) END) AS tpl FROM items0 WHERE len(tok) >= 8
+  SELECT item_id, text, tok, TEMPLATE AS tpl FROM item_tok WHERE len(tok) >= 8
 ), docs AS (
-  SELECT doc_id, tok, list_transform(tok, lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN '0' WHEN list_contains(string_split('UNITS', ' '), lower(t)) THEN '2' WHEN t[1] <> lower(t[1]) THEN '1' ELSE lower(t) END) AS tpl
-  FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+|[$€£%°]') AS tok FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, tok, TEMPLATE AS tpl FROM doc_tok WHERE len(tok) >= 8
+), item_at AS (
+  SELECT item_id, text, tok, tpl, unnest(generate_series(1, len(tpl) - 7)) AS p FROM items
 ), item_win AS (
-  SELECT item_id, text, p, array_to_string(list_slice(tpl, p, p + 7), ' ') AS w FROM (SELECT item_id, text, tpl, unnest(generate_series(1, len(tpl) - 7)) AS p FROM items)
+  SELECT item_id, text, p, false AS plain, array_to_string(list_slice(tpl, p, p + 7), ' ') AS w FROM item_at
   WHERE 2 * len(list_filter(list_slice(tpl, p, p + 7), lambda x: x IN ('0', '1', '2'))) <= 8
+  UNION ALL SELECT item_id, text, p, true, lower(array_to_string(list_slice(tok, p, p + 7), ' ')) FROM item_at
 ), n_win AS (
-  SELECT item_id, text, count(*) AS n_windows FROM item_win GROUP BY ALL
+  SELECT item_id, text, plain, count(*) AS n_windows FROM item_win GROUP BY ALL
+), doc_at AS (
+  SELECT doc_id, tok, tpl, unnest(generate_series(1, len(tpl) - 7)) AS p FROM docs
 ), doc_win AS (
-  SELECT doc_id, p, array_to_string(list_slice(tpl, p, p + 7), ' ') AS w FROM (SELECT doc_id, tpl, unnest(generate_series(1, len(tpl) - 7)) AS p FROM docs WHERE len(tpl) >= 8)
+  SELECT doc_id, p, false AS plain, array_to_string(list_slice(tpl, p, p + 7), ' ') AS w FROM doc_at
+  UNION ALL SELECT doc_id, p, true, lower(array_to_string(list_slice(tok, p, p + 7), ' ')) FROM doc_at
 ), hit AS (
-  SELECT d.doc_id, i.item_id, i.text, i.p AS at, d.p - i.p AS diagonal FROM doc_win d JOIN item_win i USING (w)
+  SELECT d.doc_id, i.item_id, i.text, plain, i.p AS at, d.p - i.p AS diagonal FROM doc_win d JOIN item_win i USING (w, plain)
 ), pair AS (
   SELECT DISTINCT h.doc_id, h.item_id, h.text, h.diagonal, i.tok[h.at + k.k] AS a, d.tok[h.at + k.k + h.diagonal] AS b
   FROM hit h CROSS JOIN (SELECT unnest(generate_series(0, 7)) AS k) k JOIN items i ON i.item_id = h.item_id AND i.text = h.text JOIN docs d ON d.doc_id = h.doc_id
-  WHERE i.tpl[h.at + k.k] IN ('0', '1', '2')
+  WHERE NOT h.plain AND i.tpl[h.at + k.k] IN ('0', '1', '2')
 ), good AS (
   SELECT h.doc_id, h.item_id, h.text, h.diagonal, coalesce(bool_and(p.a = p.b), true) AS exact
   FROM (SELECT DISTINCT doc_id, item_id, text, diagonal FROM hit) h LEFT JOIN pair p USING (doc_id, item_id, text, diagonal)
   GROUP BY ALL HAVING count(p.a) = count(DISTINCT p.a)
+), kind AS (
+  SELECT h.doc_id, h.item_id, h.text, plain, n.n_windows, count(DISTINCT h.at)::INT AS n_matched, round(count(DISTINCT h.at) / n.n_windows, 6) AS coverage, bool_and(plain OR g.exact) AS exact
+  FROM hit h JOIN good g USING (doc_id, item_id, text, diagonal) JOIN n_win n USING (item_id, text, plain)
+  GROUP BY h.doc_id, h.item_id, h.text, plain, n.n_windows HAVING count(DISTINCT h.at) / n.n_windows >= 0.5
 )
-SELECT h.doc_id, h.item_id, n.n_windows, count(DISTINCT h.at)::INT AS n_matched, round(count(DISTINCT h.at) / n.n_windows, 6) AS coverage, bool_and(g.exact) AS exact
-FROM hit h JOIN good g USING (doc_id, item_id, text, diagonal) JOIN n_win n USING (item_id, text)
-GROUP BY h.doc_id, h.item_id, h.text, n.n_windows HAVING count(DISTINCT h.at) / n.n_windows >= 0.5
-""".replace("UNITS", " ".join(UNITS))
+SELECT doc_id, item_id, n_windows, n_matched, coverage, exact FROM kind QUALIFY row_number() OVER (PARTITION BY doc_id, item_id, text ORDER BY plain) = 1
+""".replace("TOKEN", TOKEN).replace("TEMPLATE", r"list_transform(tok, lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN '0' WHEN list_contains(string_split('UNITS', ' '), lower(t)) THEN '2' WHEN regexp_matches(t, '^[\p{Lu}\p{Lt}]') THEN '1' ELSE lower(t) END)").replace("UNITS", " ".join(UNITS))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import small_batches, texts, written
+from foliomill.llm.common import identity, short, slots, texts, written
 from foliomill.llm.components import components
 
 BITS, SHINGLE, WITHIN, SEED = 64, 4, 4, 42
@@ -56,16 +56,15 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(raw), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (signed long)."""
-    small_batches(docs.sparkSession)
+def fingerprints(rows: DataFrame, *others: str, width: int = SHINGLE) -> DataFrame:
+    """fp (signed long) of `text`, and the columns `others` (long) as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [fingerprint(t, width) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        for batch in short(batches):
+            found = [fingerprint(t, width) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), *batch.columns[1:]], ["fp", *others])
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return rows.select("text", *others).mapInArrow(run, ", ".join(["fp long", *(f"{c} long" for c in others)]))
 
 
 def bit_counts(fps: DataFrame) -> np.ndarray:
@@ -233,21 +232,34 @@ def links(keys: DataFrame, within: int = WITHIN) -> DataFrame:
     return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
-def classes(docs: DataFrame, width: int = SHINGLE, within: int = WITHIN, planned: int = PLANNED) -> DataFrame:
-    """doc_id, fp (signed long), component_id (the smallest doc_id reachable)."""
-    spark = docs.sparkSession
-    fps = written(fingerprints(docs, width))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # short rows from here on
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")))
+def rooted(fps: DataFrame, within: int = WITHIN, planned: int = PLANNED) -> DataFrame:
+    """fp, root (the least fingerprint of its component) for every distinct fp of `fps`."""
+    nodes = written(fps.select("fp").distinct())
     chosen = plan(bit_counts(nodes), within, planned)
     found = components(links(keyed(nodes, chosen), within))
-    # a component's id is the least doc_id over its fingerprints; only fingerprints in some link move
-    rooted = nodes.join(found, nodes.fp == found.node, "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.select("fp", "root").join(ids, "root").select("fp", "component_id")
+    return nodes.join(found, nodes.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def classes(docs: DataFrame, width: int = SHINGLE, within: int = WITHIN, planned: int = PLANNED) -> DataFrame:
+    """doc_id, fp (signed long), component_id (the smallest doc_id reachable)."""
+    fps = written(fingerprints(texts(docs), "doc_id", width=width))
+    ids = fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(rooted(fps, within, planned), "fp")  # a row for each fingerprint
+    named = ids.join(ids.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def representatives(docs: DataFrame, width: int = SHINGLE, within: int = WITHIN, planned: int = PLANNED) -> DataFrame:
+    """Of each component one row of `docs`, with all its columns: the one with the smallest doc_id (null is the largest), and of
+    several such rows that with the least `identity`; of rows equal in both any one, and then they differ in other columns only.
+    Unlike texts that share a doc_id are judged apart."""
+    fps = written(fingerprints(slots(docs), "doc_id", "slot", "mark", width=width))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "slot", "mark")
+    first = fps.groupBy("fp").agg(F.min(order).alias("first")).join(rooted(fps, within, planned), "fp")
+    kept = first.groupBy("root").agg(F.min("first").alias("first")).select("first.slot", "first.mark")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), *identity(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return whole.join(kept, ["slot", "mark"]).dropDuplicates(["slot", "mark"]).select("whole.*")
+
+
 def as_hex(fp):
     """16 lowercase hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

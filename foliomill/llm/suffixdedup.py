@@ -4,17 +4,21 @@ A byte goes if a string of `width` bytes that covers it also starts anywhere els
 
 1. Every start p of a `width`-byte string is filed under the least hash of the 64-byte grams inside the string. Equal strings
    have equal keys, whatever surrounds them, and neighbouring starts mostly share theirs: starts are kept as runs, about one
-   for 70 bytes of text, and a run of any length (a text of blanks) is one row.
+   for 70 bytes of text, and a run of any length (a text of blanks) is one row. Runs are written once.
 2. Runs whose key's gram occurs once in the corpus hold no repeated string. Keys are counted with partial sums before the shuffle.
-3. For the other runs the text around them is fetched from their documents. Equal pieces in one batch become one row.
-4. Pieces with the same key meet in one task, which sorts the suffixes that start in them (deep-shallow sorting) and marks
-   those equal to a neighbour over all `width` bytes. A task holds whole keys, a bounded number of bytes at a time; of pieces
-   that are equal throughout only the first is kept in memory.
-5. Marked starts become byte intervals, gathered by document, and are cut out.
+3. A key under which more than `CROWD` unlike pieces meet is split by more of the string: starts are dealt by their distance to
+   the key's gram, `PARTS[0]` distances together, and filed under a hash of the bytes that all strings of such a part cover, and
+   where that is still crowded under a hash of the whole string. Equal strings stay together, and step 2 drops what occurs
+   once: so contexts of a common passage leave its key, and at last only equal pieces share one.
+4. For the runs left the text around them is fetched from their documents. Equal pieces in one batch become one row.
+5. Pieces with the same key meet in one task, which sorts the suffixes that start in them (deep-shallow sorting) and marks
+   those equal to a neighbour over all `width` bytes. A task takes whole keys, a bounded number of bytes at a time; pieces that
+   are equal throughout are held once, and passed on as they come once a second one was seen.
+6. Marked starts become byte intervals, gathered by document, and are cut out.
 
 Input: documents (doc_id, text). Null text counts as empty; texts under `width` bytes lose nothing. A repeated row is a copy
-like any other: both lose what they share. Null doc_ids are kept. An empty table gives an empty table. Columns other than
-doc_id and text are ignored, or passed on by `remove`.
+like any other: both lose what they share. Null doc_ids are kept; rows are told apart by 128 bits of id and text. An empty table
+gives an empty table. Columns other than doc_id and text are ignored, or passed on by `remove`.
 """
 
 from __future__ import annotations
@@ -27,19 +31,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import NO_ID, slots, small_batches
+from foliomill.llm.common import short, slots, written
 from foliomill.llm.deepshallow import order
 
 WIDTH, GRAM = 200, 64
 #: Positions hashed at once, so that they stay in the processor's cache; bytes of pieces sorted at once.
 HASHED, SORTED = 1 << 15, 4 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+#: Unlike pieces under one key from which on it is split, and how many distances to its gram are kept together by each split.
+CROWD, PARTS = 2048, (17, 1)
+RUN = "key long, slot long, mark long, start int, size int, shape long, n int"
 
 
-def least_hashes(buf: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """For every start of a `width`-byte string in `buf`: the least hash (48 bits) of the grams inside it, and whether two have it."""
+class Sums:
+    """Hashes of any stretch of a buffer, from running sums."""
+
+    def __init__(self, buf: np.ndarray):
+        n = len(buf)
+        power, self.back = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n, b, np.uint64))) for b in (BASE, INVERSE))
+        self.sums = np.append(np.uint64(0), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[:-1]))
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[stop] - self.sums[start]) * self.back[start])
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+def least_hashes(buf: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every start of a `width`-byte string in `buf`: the least hash (48 bits) of the grams inside it, whether two have it, and
+    how far on the first of them begins."""
     n = max(len(buf) - width + 1, 0)
-    out, twice = np.empty(n, np.uint64), np.empty(n, bool)
+    out, twice, far = np.empty(n, np.uint64), np.empty(n, bool), np.empty(n, np.int64)
     span, low = width - gram + 1, np.uint64(16)
     for s in range(0, n, HASHED):
         h = buf[s : s + HASHED + width - 1].astype(np.uint64) + np.uint64(1)
@@ -61,20 +87,22 @@ def least_hashes(buf: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple
         left, right = ends
         out[s : s + len(left)] = left >> low
         twice[s : s + len(left)] = (left & np.uint64(0xFFFF)) != np.uint64(0xFFFF) - (right & np.uint64(0xFFFF))
-    return out, twice
+        far[s : s + len(left)] = (left & np.uint64(0xFFFF)).astype(np.int64) - np.arange(len(left))
+    return out, twice, far
 
 
 def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
-    """key, slot, mark, start, size, n: consecutive starts that share a key; n is 2 if the key's gram occurs in them more than once."""
+    """key, slot, mark, start, size, shape, n: consecutive starts that share a key. shape: a hash of the bytes that their strings
+    cover; n is 2 if the key's gram occurs in them more than once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             texts = batch.column(2)
             ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
             raw = texts.buffers()[2]
             buf = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None and len(texts) else np.empty(0, np.uint8)
             ends = (ends - ends[0]).astype(np.int64)
-            key, twice = least_hashes(buf, width, gram)
+            key, twice, _ = least_hashes(buf, width, gram)
             begin, stop = ends[:-1], np.maximum(ends[1:] - width + 1, ends[:-1])  # valid starts of each text
             inside = np.zeros(len(buf) + 1, np.int8)
             np.add.at(inside, begin, 1)
@@ -89,36 +117,75 @@ def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
             seen = np.append(0, np.cumsum(twice))
             many = (seen[first + size] > seen[first]) | (size > width - gram + 1)
             doc = np.searchsorted(ends, first, side="right") - 1
+            shape = Sums(buf).of(first, first + size + width - 1) if len(first) else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[first].view(np.int64)), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array((first - ends[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(many.astype(np.int32) + np.int32(1))],
-                ["key", "slot", "mark", "start", "size", "n"],
+                [pa.array(key[first].view(np.int64)), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array((first - ends[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(shape.view(np.int64)), pa.array(many.astype(np.int32) + np.int32(1))],
+                ["key", "slot", "mark", "start", "size", "shape", "n"],
             )
 
-    return docs.select("slot", "mark", "text").mapInArrow(scan, "key long, slot long, mark int, start int, size int, n int")
+    return docs.select("slot", "mark", "text").mapInArrow(scan, RUN)
+
+
+def parted(piece: bytes, key: int, part: int, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A crowded run as finer ones: first start, size, key, shape, n of each. Starts whose distance to the key's gram lies in
+    the same `part` are filed under a hash of the bytes that the strings of all such starts cover."""
+    buf = np.frombuffer(piece, np.uint8)
+    _, _, far = least_hashes(buf, width, gram)
+    sums, p = Sums(buf), np.arange(len(far))
+    low = far // part * part
+    core = p + far - low
+    finer = mixed(sums.of(core, core + width - part + 1) ^ np.uint64(key & (1 << 64) - 1) + low.astype(np.uint64))
+    new = np.append(True, finer[1:] != finer[:-1])
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(p)))
+    moved = np.append(False, far[1:] != far[:-1] - 1) & ~new  # the gram is another one: the same bytes again
+    seen = np.append(0, np.cumsum(moved))
+    return first, size, finer[first].view(np.int64), sums.of(first, first + size + width - 1).view(np.int64), 1 + (seen[first + size] > seen[first])
+
+
+def split(docs: DataFrame, crowded: DataFrame, part: int, width: int, gram: int) -> DataFrame:
+    """The runs of crowded keys as finer ones (see `parted`)."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in short(batches):
+            for slot, mark, text, held in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = text.encode()
+                cols = []
+                for r in held:
+                    first, size, key, shape, n = parted(raw[r["start"] : r["start"] + r["size"] + width - 1], r["key"], part, width, gram)
+                    cols.append((key, first + r["start"], size, shape, n))
+                key, start, size, shape, n = (np.concatenate(c) for c in zip(*cols))
+                arrays = [pa.array(key), pa.array(np.full(len(key), slot)), pa.array(np.full(len(key), mark)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(shape), pa.array(n.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "slot", "mark", "start", "size", "shape", "n"])
+
+    by_doc = crowded.groupBy("slot", "mark").agg(F.collect_set(F.struct("key", "start", "size")).alias("held"))
+    return docs.select("slot", "mark", "text").join(by_doc, ["slot", "mark"]).select("slot", "mark", "text", "held").mapInArrow(cut, RUN)
 
 
 def pieces(docs: DataFrame, repeated: DataFrame, width: int = WIDTH) -> DataFrame:
     """key, piece (the bytes that a run's strings cover), and the runs that have it: slots, marks, starts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-            for slot, mark, text, held in zip(*(c.to_pylist() for c in batch.columns)):
+            for slot, mark, text, held in zip(*(batch.column(c).to_pylist() for c in ("slot", "mark", "text", "held"))):
                 raw = text.encode()
                 for r in held:
                     found.setdefault((r["key"], raw[r["start"] : r["start"] + r["size"] + width - 1]), []).append((slot, mark, r["start"]))
             keys, parts = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(parts, pa.binary()), *(pa.array([[m[i] for m in ms] for ms in found.values()], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32())))],
+                [pa.array(keys, pa.int64()), pa.array(parts, pa.binary()), *(pa.array([[m[i] for m in ms] for ms in found.values()], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32())))],
                 ["key", "piece", "slots", "marks", "starts"],
             )
 
-    by_doc = repeated.groupBy("slot", "mark").agg(F.collect_list(F.struct("key", "start", "size")).alias("held"))
-    return docs.join(by_doc, ["slot", "mark"]).select("slot", "mark", "text", "held").mapInArrow(cut, "key long, piece binary, slots array<long>, marks array<int>, starts array<int>")
+    by_doc = repeated.groupBy("slot", "mark").agg(F.collect_set(F.struct("key", "start", "size")).alias("held"))
+    # every column of docs goes along, so that its shuffle is the one that `remove` and `digests` need again
+    return docs.join(by_doc, ["slot", "mark"]).mapInArrow(cut, "key long, piece binary, slots array<long>, marks array<long>, starts array<int>")
 
 
-def marked(parts: list[bytes], many: list[bool], width: int) -> list[list[tuple[int, int]]]:
-    """For each of some distinct pieces, the byte intervals in it that repeated strings cover. many: the piece occurs more than once."""
+def marked(parts: list[bytes], keys: list[int], many: list[bool], width: int) -> list[list[tuple[int, int]]]:
+    """For each of some distinct pieces, the byte intervals in it that strings repeated under its key cover. keys: of each piece,
+    in order; many: the piece occurs more than once."""
     buf = np.frombuffer(b"".join(parts), np.uint8)
     size = np.array([len(p) for p in parts], np.int64)
     base = np.cumsum(size) - size
@@ -126,7 +193,8 @@ def marked(parts: list[bytes], many: list[bool], width: int) -> list[list[tuple[
     of = np.repeat(np.arange(len(parts)), n)
     within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
     pos = base[of] + within
-    ordered, equal = order(buf, pos, width)
+    group = np.cumsum(np.append(True, np.diff(np.array(keys)) != 0))
+    ordered, equal = order(buf, pos, group[of], width)
     twice = equal.copy()
     twice[:-1] |= equal[1:]
     flag = np.zeros(len(buf) + 1, bool)
@@ -151,43 +219,71 @@ def covered(found: DataFrame, width: int = WIDTH) -> DataFrame:
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: dict[tuple[int, bytes], int] = {}
         parts: list[bytes] = []
-        members: list[list[tuple]] = []
+        keys: list[int] = []
+        members: list[tuple | None] = []  # the one run that has the piece; None if there are more, which were passed on
+        rows: list[tuple[int, int, int, int]] = []
         held, last = 0, None
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows: list[tuple[int, int, int, int]] = []
-            for spans, ms in zip(marked(parts, [sum(len(m[0]) for m in x) > 1 for x in members], width) if parts else (), members):
-                if spans:
-                    rows += [(slot, mark, s + a, s + b) for m in ms for slot, mark, s in zip(*m) for a, b in spans]
+        def whole(piece: bytes, ms: tuple) -> None:
+            rows.extend((slot, mark, s, s + len(piece)) for slot, mark, s in zip(*ms))
+
+        def out() -> pa.RecordBatch:
             cols = [*zip(*rows)] if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["slot", "mark", "start", "stop"])
-            at.clear()
-            parts.clear()
-            members.clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["slot", "mark", "start", "stop"])
+            rows.clear()
+            return batch
+
+        def flush() -> pa.RecordBatch:
+            for spans, ms in zip(marked(parts, keys, [m is None for m in members], width) if parts else (), members):
+                if spans and ms:
+                    rows.extend((slot, mark, s + a, s + b) for slot, mark, s in zip(*ms) for a, b in spans)
+            for x in (at, parts, keys, members):
+                x.clear()
+            return out()
 
         for batch in batches:
-            for key, piece, *ms in zip(*(c.to_pylist() for c in batch.columns)):
-                if held >= SORTED and key != last:
-                    yield from flush()
-                    held = 0
-                last = key
-                if (i := at.setdefault((key, piece), len(parts))) == len(parts):
-                    parts.append(piece)
-                    members.append([])
-                    held += len(piece)
-                members[i].append(tuple(ms))
-        yield from flush()
-
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "slot long, mark int, start int, stop int")
-
-
-def intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+            for few in (batch.slice(s, 4096) for s in range(0, batch.num_rows, 4096)):
+                for key, piece, *ms in zip(*(c.to_pylist() for c in few.columns)):
+                    if held >= SORTED and key != last:
+                        yield flush()
+                        held = 0
+                    last = key
+                    if (i := at.setdefault((key, piece), len(parts))) == len(parts):
+                        parts.append(piece)
+                        keys.append(key)
+                        members.append(tuple(ms))
+                        held += len(piece)
+                        if len(ms[0]) > 1:
+                            whole(piece, members[i])
+                            members[i] = None
+                    else:
+                        if members[i]:
+                            whole(piece, members[i])
+                            members[i] = None
+                        whole(piece, ms)
+                if len(rows) > 1 << 16:
+                    yield out()
+        yield flush()
+
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(solve, "slot long, mark long, start int, stop int")
+
+
+def intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """slot, mark, spans (array of start, stop) for the rows of `slots` that lose something."""
-    small_batches(docs.sparkSession)
-    every = runs(docs, width, gram)
-    often = every.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    repeated = every.drop("n").join(often, "key")
-    return covered(pieces(docs.select("slot", "mark", "text"), repeated, width), width).groupBy("slot", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    every, found = runs(docs, width, gram), None
+    for part in (*PARTS, None):
+        every = written(every)
+        often = every.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1")
+        repeated = written(every.drop("n").join(often, "key"))
+        unlike = repeated.where(F.col("times") > crowd).select("key", "shape").distinct().groupBy("key").count().where(F.col("count") > crowd).select("key")
+        crowded = written(unlike) if part else None
+        some = repeated if crowded is None or crowded.isEmpty() else repeated.join(crowded, "key", "left_anti")
+        part_found = pieces(docs, some.drop("times", "shape"), width)
+        found = part_found if found is None else found.unionByName(part_found)
+        if some is repeated:
+            break
+        every = split(docs, repeated.join(crowded, "key", "left_semi"), part, width, gram)
+    return covered(found, width).groupBy("slot", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -219,21 +315,21 @@ def whole_characters(raw: bytes, gone: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
-def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def digests(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = slots(docs)  # the same columns on both sides of the joins, so that texts are shuffled once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             out: list[tuple] = []
             for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw, gone = text.encode(), merged(spans)
                 out.append((len(raw), sum(e - s for s, e in gone), len(gone), sha256(kept(raw, gone) if gone else raw).hexdigest()))
             cols = [*zip(*out)] if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["slot", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    found = intervals(rows, width, gram)
-    return rows.join(found, ["slot", "mark"], "left").select("slot", "text", "spans").mapInArrow(run, "slot long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").select(F.when(F.col("slot") != NO_ID, F.col("slot")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = intervals(rows, width, gram, crowd)
+    return rows.join(found, ["slot", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -241,7 +337,7 @@ def remove(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     rows = slots(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             out = []
             for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if spans:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from foliomill.llm.bpe import FIELD, Cache, load, vocabulary, words_of
-from foliomill.llm.common import small_batches, texts
+from foliomill.llm.common import short, texts
 
 #: Characters in a chunk and in an overlap, and the tokens over which a document is marked.
 CHUNK, OVERLAP, LIMIT = 32_768, 512, 2048
@@ -71,12 +71,11 @@ def count(text: str, ids_of: Encode, chunk: int = CHUNK, overlap: int = OVERLAP)
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens)."""
     path = path or vocabulary()
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         ids_of, size_of = Cache(bpe, tuple), Cache(bpe, len)
-        for batch in batches:
+        for batch in short(batches):
             held = [t or "" for t in batch.column(1).to_pylist()]
             n_bytes = [len(t.encode()) for t in held]
             n_tokens = [sum(sizes) for sizes in size_of.of([words_of(t) if len(t) <= chunk else [] for t in held])]

@@ -44,7 +44,7 @@ def test_half_a_passage_is_enough(spark):
 def test_templates_of_texts_are_those_of_their_tokens(spark):
     from pyspark.sql import functions as F
 
-    texts = [ITEM, "iPhone 5kg 3,5 km/h McDonald ÉTÉ été 7.8.9 $5 5% A1 İx ǅ a1b2 KG Km 2nd", "", "Σ ß ÄÖ x́Y"]
+    texts = [ITEM, "iPhone 5kg 3,5 km/h McDonald ÉTÉ été 7.8.9 $5 5% A1 İx ǅ a1b2 KG Km 2nd", "", "Σ ß ÄÖ x́Y", "𝐀𝐁 𝐜 𝐀5 ⅅ"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select(decontam.templates(F.col("t")).alias("a"), F.transform(decontam.tokens(F.col("t")), decontam.template).alias("b")).collect():
         assert r.a == r.b
