@@ -8,7 +8,8 @@ over all of these. Weights are fitted on a sample of at most `SAMPLE` of them, a
 equal share; who is in the sample is decided by a hash of doc_id. Neither lang nor source nor doc_id enters a prediction.
 
 Null texts and texts without a letter get `und` with score 0; so does every text if there is nothing to learn from. A null
-doc_id is never learned from and is not held out. Repeated rows are kept. An empty table gives an empty table. Columns other
+doc_id is never learned from and is not held out. At most the `CLASSES` most frequent values of lang are learned, so that dirty
+values cannot swell the model; ties go to the smaller value. Repeated rows are kept. An empty table gives an empty table. Columns other
 than doc_id, text and lang are ignored.
 """
 
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import remainder, small_batches
+from foliomill.llm.common import remainder, short
 from foliomill.llm.ngrams import batches, grams
 
 #: Most rows that weights are fitted on.
 SAMPLE = 2000
+#: Most languages that are learned.
+CLASSES = 256
 SIZES, DIMS, EPOCHS = (1, 2, 3), 1 << 13, 3
 #: Step size and its floor, and the elastic net.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.02
@@ -41,22 +44,26 @@ class Model:
     temperature: float = 1.0
 
 
-def term_counts(texts: list[str], dims: int = DIMS) -> np.ndarray:
-    """Texts x dims: how often each bucket occurs."""
-    out = np.zeros(len(texts) * dims, np.int64)
+def sparse(texts: list[str], dims: int = DIMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, bucket, how often) of every bucket that a text has, in order."""
+    out = np.zeros(len(texts) * dims, np.int32)
     for number, bucket in grams(texts, SIZES, dims):
-        out += np.bincount(number.astype(np.int64) * dims + bucket, minlength=len(out))
-    return out.reshape(len(texts), dims)
+        out += np.bincount(number.astype(np.int64) * dims + bucket, minlength=len(out)).astype(np.int32)
+    at = np.flatnonzero(out)
+    return at // dims, at % dims, out[at]
 
 
-def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """TF-IDF with logarithmic term counts, rows of length one, and a last column for the bias."""
-    x = np.zeros((len(counts), len(idf) + 1), np.float32)
-    at = np.nonzero(counts)
-    x[at] = np.log1p(counts[at].astype(np.float32)) * idf[at[1]]
-    x[:, :-1] /= np.maximum(np.sqrt((x[:, :-1] ** 2).sum(axis=1, keepdims=True)), 1e-9)
-    x[:, -1] = 1
-    return x
+def weighted(number: np.ndarray, bucket: np.ndarray, tf: np.ndarray, idf: np.ndarray, texts: int) -> np.ndarray:
+    """TF-IDF with logarithmic term counts, so that each text's values have length one."""
+    x = np.log1p(tf.astype(np.float32)) * idf[bucket]
+    return x / np.maximum(np.sqrt(np.bincount(number, x * x, minlength=texts)), 1e-9)[number]
+
+
+def logits(number: np.ndarray, bucket: np.ndarray, x: np.ndarray, weights: np.ndarray, texts: int) -> np.ndarray:
+    """texts x classes: the sum over the buckets that a text has; the last row of `weights` is the bias."""
+    used = weights[:-1].any(axis=1)[bucket]
+    number, bucket, x = number[used], bucket[used], x[used]
+    return np.stack([np.bincount(number, x * weights[bucket, c], minlength=texts) for c in range(weights.shape[1])], axis=1) + weights[-1]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -104,19 +111,19 @@ def learnable(docs: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the learnable rows of `docs`."""
-    small_batches(docs.sparkSession)
     rows = learnable(docs)
-    found = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    found = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES).collect()}
     if not found:
         return Model()
     langs = sorted(found)
+    rows = rows.where(F.col("lang").isin(langs))
     total = sum(found.values())
 
     def partial(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(DIMS, np.int64)
-        for batch in batches_:
+        for batch in short(batches_):
             for _, some in batches(batch.column(0).to_pylist()):
-                df += (term_counts(some) > 0).sum(axis=0)
+                df += np.bincount(sparse(some)[1], minlength=DIMS)
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at], pa.int64())], ["bucket", "n"])
 
@@ -131,13 +138,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     picked = rows.where(drawn < limit[F.col("lang")]).select("lang", drawn.alias("drawn"), "text")
 
     def features(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
+        for batch in short(batches_):
             held = batch.column(2).to_pylist()
             at, tf = [], []
             for _, some in batches(held):
-                for row in term_counts(some):
-                    at.append(np.flatnonzero(row).astype(np.int32))
-                    tf.append(row[at[-1]].astype(np.int32))
+                number, bucket, times = sparse(some)
+                cuts = np.searchsorted(number, np.arange(1, len(some)))
+                at += np.split(bucket.astype(np.int32), cuts)
+                tf += np.split(times, cuts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(tf, pa.list_(pa.int32()))], ["lang", "drawn", "at", "tf"])
 
     got = picked.mapInArrow(features, "lang string, drawn long, at array<int>, tf array<int>").orderBy("drawn", "lang", "at").limit(sample).toArrow()
@@ -145,29 +153,30 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     data = []
     for at, tf in zip(got["at"].chunks and got["at"].combine_chunks() or [], got["tf"].chunks and got["tf"].combine_chunks() or []):
         i = at.values.to_numpy().astype(np.int64)
-        x = np.log1p(tf.values.to_numpy().astype(np.float32)) * idf[i]
-        data.append((np.append(i, DIMS), np.append(x / max(float(np.sqrt((x * x).sum())), 1e-9), 1).astype(np.float32)))
+        x = weighted(np.zeros(len(i), np.int64), i, tf.values.to_numpy(), idf, 1)
+        data.append((np.append(i, DIMS), np.append(x, 1).astype(np.float32)))
     apart = np.arange(len(y)) % 5 == 0  # rows kept aside for the temperature; the order is that of a hash
     train = [i for i in range(len(y)) if not apart[i]] or [*range(len(y))]
     w = ftrl([data[i] for i in train], y[train], DIMS + 1, len(langs))
     kept = np.flatnonzero(apart)
-    logits = np.array([data[i][1] @ w[data[i][0]] for i in kept]).reshape(len(kept), len(langs))
-    return Model(langs, idf, w, temperature(logits, y[kept]))
+    apart_logits = np.array([data[i][1] @ w[data[i][0]] for i in kept]).reshape(len(kept), len(langs))
+    return Model(langs, idf, w, temperature(apart_logits, y[kept]))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the calibrated probability of lang_pred)."""
-    small_batches(docs.sparkSession)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
+        for batch in short(batches_):
             texts = batch.column(2).to_pylist()
             lettered = [bool(model.langs) and t is not None and any(map(str.isalpha, t)) for t in texts]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             for first, some in batches([t if ok else "" for t, ok in zip(texts, lettered)]):
                 if not model.langs:
                     break
-                p = softmax(weighted(term_counts(some), model.idf) @ model.weights / model.temperature)
+                number, bucket, tf = sparse(some)
+                x = weighted(number, bucket, tf, model.idf, len(some))
+                p = softmax(logits(number, bucket, x, model.weights, len(some)) / model.temperature)
                 for k, best in enumerate(p.argmax(axis=1)):
                     if lettered[first + k]:
                         lang[first + k], score[first + k] = model.langs[best], p[k, best]

@@ -1,8 +1,9 @@
 """Toxicity (operator 2): a character n-gram linear classifier on features scaled by naive Bayes log-count ratios.
 
 A feature is the presence of a hashed n-gram. From labelled rows r = log(share of toxic rows that have it / share of other
-rows), smoothed. The most telling features by r over its standard error stay. Their columns are scaled by r, and a logistic
-regression with an l2 penalty is fitted on them, rows weighted to the classes' true shares.
+rows), smoothed; of r only what lies beyond `SURE` standard errors counts, so that chance in rare n-grams says nothing. Every
+feature is scaled by that, none is left out for want of room, and a logistic regression with an l2 penalty is fitted on them by
+dual coordinate descent, rows weighted to the classes' true shares.
 
 Learned from: labels joined to documents whose crc32(doc_id as text) mod 5 is not 0, on a sample of at most `SAMPLE` labelled
 rows, up to half of them toxic; who is in the sample is decided by a hash of doc_id. Only the text enters a score. Labels with
@@ -23,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import remainder, small_batches, written
+from foliomill.llm.common import remainder, short, written
 from foliomill.llm.ngrams import batches, grams
 
-#: Most labelled rows that are learned from, features that stay, tasks that count.
-SAMPLE, FEATURES, TASKS = 8000, 1024, 16
+#: Most labelled rows that are learned from, and tasks that make their features.
+SAMPLE, TASKS = 8000, 16
 SIZES, DIMS = (4, 5, 6), 1 << 18
-SMOOTHING, PENALTY = 0.5, 3e-4
+#: The smoothing of counts, standard errors of a ratio that don't count, the bound of a row's dual variable, passes over the rows.
+SMOOTHING, SURE, COST, EPOCHS = 0.5, 2.0, 1.0, 30
 FOLDS, HELD_OUT = 5, 0
 
 
@@ -39,15 +41,12 @@ class Model:
     bias: float = -50.0
 
 
-def present(texts: list[str], keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, bucket), once for each bucket that a text has; only buckets marked in `keep`."""
-    found = []
+def present(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, bucket), once for each bucket that a text has, in order of the texts."""
+    seen = np.zeros(len(texts) * DIMS, bool)
     for number, bucket in grams(texts, SIZES, DIMS):
-        if keep is not None:
-            ok = keep[bucket]
-            number, bucket = number[ok], bucket[ok]
-        found.append(number.astype(np.int64) << 18 | bucket)
-    pairs = np.unique(np.concatenate(found))
+        seen[number.astype(np.int64) * DIMS + bucket] = True
+    pairs = np.flatnonzero(seen)
     return pairs >> 18, pairs & DIMS - 1
 
 
@@ -67,93 +66,106 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame,
     return rows.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"), n, share
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, rounds: int = 500) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent on the weighted log loss with an l2 penalty on the weights."""
-    weight = weight / weight.sum()
-    v = np.ones(x.shape[1], np.float32)
-    for _ in range(20):  # the largest curvature, by power iteration
-        v = x.T @ (weight * (x @ v))
-        top = float(np.linalg.norm(v)) or 1.0
-        v /= top
-    step = 1 / (0.25 * (top + 1) + penalty)
-    w, b = np.zeros(x.shape[1], np.float32), float(np.log(max((weight * y).sum(), 1e-9) / max((weight * (1 - y)).sum(), 1e-9)))
-    w0, b0 = w.copy(), b
-    for t in range(rounds):
-        m = t / (t + 3)
-        u, c = w + m * (w - w0), b + m * (b - b0)
-        e = weight * (1 / (1 + np.exp(-np.clip(x @ u + c, -30, 30))) - y)
-        w0, b0 = w, b
-        w, b = (u - step * (x.T @ e + penalty * u)).astype(np.float32), float(c - step * e.sum())
+def logistic(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights on the scaled features and a bias: the least of |w|^2 / 2 + sum(cost * log loss), by dual coordinate descent.
+
+    rows: the buckets of each row, of which the values are `scale`. The bias is a feature of its own. Rows are taken in turns
+    drawn with a fixed seed; for each one its dual variable a, between 0 and its cost, is moved by Newton steps.
+    """
+    sign, w, b = np.where(y == 1, 1.0, -1.0), np.zeros(len(scale)), 0.0
+    size = np.array([(scale[at] ** 2).sum() + 1 for at in rows])
+    a = np.minimum(1e-3 * cost, 1e-8)
+    for at, s, x in zip(rows, sign, a):
+        w[at] += s * x * scale[at]
+        b += s * x
+    turns = np.random.default_rng(5)
+    for _ in range(epochs):
+        moved = 0.0
+        for i in turns.permutation(len(rows)):
+            at, c = rows[i], cost[i]
+            values = scale[at]
+            margin, old, x = sign[i] * (w[at] @ values + b), a[i], a[i]
+            for _ in range(20):  # g(x) = size * (x - old) + margin + log(x / (c - x)) = 0, which rises with x
+                g = size[i] * (x - old) + margin + np.log(x / (c - x))
+                step = g / (size[i] + c / (x * (c - x)))
+                new = x - step
+                x = x / 10 if new <= 0 else (x + 9 * c) / 10 if new >= c else new
+                x = min(max(x, 1e-12 * c), c * (1 - 1e-12))
+                if abs(g) < 1e-4:
+                    break
+            if (d := x - old) != 0:
+                w[at] += sign[i] * d * values
+                b += sign[i] * d
+                a[i], moved = x, max(moved, abs(d) / c)
+        if moved < 1e-3:
+            break
     return w, b
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the labelled rows of `docs` that may be learned from."""
-    small_batches(docs.sparkSession)
     rows, n, share = sampled(docs, labels, sample)
     if not n[0] or not n[1]:
         return Model(bias=50.0 if n[1] else -50.0)
+
     rows = written(rows.repartition(TASKS))
 
     def partial(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = np.zeros((2, DIMS), np.int32), np.zeros(2, np.int64)
-        for batch in batches_:
-            toxic = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            seen += np.bincount(toxic, minlength=2)
+        counts = np.zeros((2, DIMS), np.int64)
+        for batch in short(batches_):
+            toxic = batch.column(0).to_numpy(zero_copy_only=False)
             for first, some in batches(batch.column(1).to_pylist()):
                 number, bucket = present(some)
                 for c in (0, 1):
-                    counts[c] += np.bincount(bucket[toxic[first + number] == c], minlength=DIMS).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary()), pa.array([seen.tolist()], pa.list_(pa.int64()))], ["counts", "seen"])
-
-    counts, seen = np.zeros((2, DIMS), np.int64), np.zeros(2, np.int64)
-    for r in rows.coalesce(TASKS).mapInArrow(partial, "counts binary, seen array<long>").toLocalIterator():
-        counts += np.frombuffer(bytes(r.counts), np.int32).reshape(2, DIMS)
-        seen += r.seen
+                    counts[c] += np.bincount(bucket[toxic[first + number] == c], minlength=DIMS)
+        at = np.flatnonzero(counts.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(counts[c, at]) for c in (0, 1))], ["bucket", "n0", "n1"])
+
+    summed = rows.mapInArrow(partial, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    counts = np.zeros((2, DIMS))
+    counts[:, summed["bucket"].to_numpy()] = summed["n0"].to_numpy(), summed["n1"].to_numpy()
+    seen = np.zeros(2)
+    for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect():
+        seen[r.toxic] = r.n
     if not seen.all():
         return Model(bias=50.0 if seen[1] else -50.0)
-    smooth = counts + SMOOTHING
-    ratio = np.log(smooth[1] / (seen[1] + 2 * SMOOTHING)) - np.log(smooth[0] / (seen[0] + 2 * SMOOTHING))
-    telling = np.abs(ratio) / np.sqrt((1 / smooth).sum(axis=0))
-    chosen = np.sort(np.argsort(-telling, kind="stable")[:FEATURES])
-    keep = np.zeros(DIMS, bool)
-    keep[chosen] = True
-    column = np.zeros(DIMS, np.int32)
-    column[chosen] = np.arange(len(chosen))
+    scale = ratios(counts, seen)
+    useful = scale != 0
 
     def features(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_:
-            held = batch.column(1).to_pylist()
-            at: list[np.ndarray] = [np.empty(0, np.int32)] * len(held)
-            for first, some in batches(held):
-                number, bucket = present(some, keep)
-                for k, part in enumerate(np.split(column[bucket], np.searchsorted(number, np.arange(1, len(some))))):
-                    at[first + k] = part
+        for batch in short(batches_):
+            at: list[np.ndarray] = []
+            for _, some in batches(batch.column(1).to_pylist()):
+                number, bucket = present(some)
+                number, bucket = number[useful[bucket]], bucket[useful[bucket]]
+                at += np.split(bucket.astype(np.int32), np.searchsorted(number, np.arange(1, len(some))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32()))], ["toxic", "at"])
 
-    got = rows.mapInArrow(features, "toxic int, at array<int>").toArrow()
-    y = got["toxic"].to_numpy().astype(np.float32)
-    x = np.zeros((len(y), len(chosen)), np.float32)
-    for i, at in enumerate(got["at"].to_pylist()):
-        x[i, at] = 1
-    scale = ratio[chosen].astype(np.float32)
-    x *= scale
-    w, b = logistic(x, y, np.where(y == 1, 1 / share[1], 1 / share[0]).astype(np.float32))
-    weights = np.zeros(DIMS, np.float32)
-    weights[chosen] = w * scale
-    return Model(weights, b)
+    got = rows.mapInArrow(features, "toxic int, at array<int>").toArrow().combine_chunks()
+    y, held = got["toxic"].to_numpy(), got["at"].chunk(0)
+    starts, buckets = held.offsets.to_numpy(), held.values.to_numpy()
+    of = [buckets[s:e] for s, e in zip(starts, starts[1:])]
+    order = sorted(range(len(y)), key=lambda i: (y[i], len(of[i]), of[i].tobytes()))  # whatever the order of the tasks
+    weight = np.where(y[order] == 1, 1 / share[1], 1 / share[0])
+    w, b = logistic([of[i] for i in order], y[order], scale, COST * weight / weight.mean())
+    return Model((w * scale).astype(np.float32), float(b))
+
+
+def ratios(counts: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Log-count ratio of every bucket, less `SURE` standard errors. counts: 2 x buckets; seen: rows of each class."""
+    smooth = counts + SMOOTHING
+    r = np.log(smooth[1] / (seen[1] + 2 * SMOOTHING)) - np.log(smooth[0] / (seen[0] + 2 * SMOOTHING))
+    return np.sign(r) * np.maximum(np.abs(r) - SURE * np.sqrt((1 / smooth).sum(axis=0)), 0)
 
 
 def score(docs: DataFrame, model: Model, *others: str) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if score >= 0.5), then the columns `others` of `docs` as they are."""
-    small_batches(docs.sparkSession)
 
     def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = model.weights != 0
-        for batch in batches_:
+        for batch in short(batches_):
             logits = np.full(batch.num_rows, model.bias)
             for first, some in batches([t or "" for t in batch.column(2).to_pylist()]):
-                number, bucket = present(some, keep)
+                number, bucket = present(some)
                 logits[first : first + len(some)] += np.bincount(number, model.weights[bucket], minlength=len(some))
             p = 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *batch.columns[3:]], ["doc_id", "held_out", "score", "predicted", *batch.schema.names[3:]])
