@@ -30,10 +30,27 @@ def test_templates_are_found_and_other_text_is_not(spark):
     assert lic.scan(empty, lic.fit(empty)).count() == 0
 
 
-def test_every_shingle_has_a_content_word():
-    for some in lic.SHINGLES.values():
-        for shingles in some:
-            assert all(set(s) & lic.CONTENT for s in shingles)
+def test_lines_wrapped_before_a_capital_are_joined(spark):
+    prose = "The ering onti the tion goes on\nInteron the erting is on the tier"
+    rows = [
+        (1, f"{prose}.\nLicensed under the Apache License,\nVersion 2.0\n{prose}"), (2, f"{prose}\nThis work is licensed under the GNU\nGeneral Public License, version 3\n{prose}"),
+        (3, "Released under the MIT License\nLicensed under CC BY-NC 4.0"), (4, f"{prose}\nPermission to land\nHereby Granted"), (5, "x" * 200_000 + "\nAll rights reserved\n" + "y " * 100_000),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lic.scan(docs, lic.fit(docs)).collect()}
+    assert [got[i].families for i in range(1, 6)] == ["Apache-2.0", "GPL", "CC-BY-NC|MIT", "", "Proprietary"] and [got[i].n_licensed for i in range(1, 6)] == [1, 1, 2, 0, 1]
+
+
+def test_predictions_equal_a_plain_sum():
+    import numpy as np
+
+    model = lic.train(["the tion goes on in the ering", "another one of these"])
+    for t in ("Licensed under the MIT License", "the driver lost his license", "words that nobody knows", ""):
+        words = lic.words_of(t)
+        z = np.array([model.weights[-1, c] + sum(model.weights[model.columns[x], c] for x in {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))} if x in model.columns) for c in range(len(model.families))], float) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        family, score = model.predict(words)
+        assert family == model.families[int(p.argmax())] and abs(score - p.max()) < 1e-4
 
 
 def test_a_changed_template_is_confirmed_by_its_share():
