@@ -7,37 +7,35 @@ are cut out of the texts (in whole characters); documents that leak a benchmark
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foliomill.llm import bpe, decontam, simhash, suffixdedup, toxicity
 from foliomill.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labels of those at hand, does not reject."""
+    """Documents that the classifier, trained on the labels of those at hand, does not reject. Null texts are scored like empty
+    ones; null ids and repeated rows stay or go by their text; without labels of both classes all stay, or go if all are toxic."""
     return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one whose id names the group. Rows that share an id are one document,
-    of which one row stays; rows without an id all stay."""
-    found = simhash.classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """One document of each group of near copies: the one with the smallest id. Null texts are one group, the empty one. A null id
+    is the largest; unlike texts that share an id are judged apart; rows equal in id and text are one document."""
+    return simhash.representatives(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that occur more than once."""
+    """All documents, without the passages that occur more than once. Null texts become empty; null ids and repeated rows stay."""
     return suffixdedup.remove(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts, null ids and repeated rows stay; with no items all stay."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of what they decode to."""
+    """Token ids of every document, with digests of the ids and of what they decode to. Null texts have no tokens."""
     return bpe.encode_documents(docs)
 
 
