@@ -69,7 +69,7 @@ def peak(events: DataFrame, group: str) -> DataFrame:
 
 
 #: What a log line must not show.
-SECRET, PATHS = r"(?i)\b(api_key|token|provider_payload|prompt)=\S+", r"(^|[^A-Za-z0-9_.])/[^\s]+"
+SECRET, PATHS = r"(?i)\b(api_key|token|provider_payload|prompt)=\S+", r"(^|[^\p{L}\p{N}_.])/[^\s]+"
 
 
 def redact(message: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Currency signs that a format may hold.
-CURRENCIES = ("$", "€", "£", "¥", "₹", "₩", "CHF")
+CURRENCIES = ("$", "€", "£", "¥")
 SPEC = "fmt string, section int, kind string, percent int, scale int, low int, high int, grouped boolean, currency string, before boolean, parens boolean, dash boolean"
 ELAPSED = re.compile(r"\[(hh?|mm?|ss?)\]", re.IGNORECASE)
 

@@ -128,22 +128,30 @@ MARKED = "CASE doc_id % 4 WHEN 0 THEN '- ' WHEN 1 THEN (doc_id % 50) || '. ' WHE
 
 @query(
     rf"""
-WITH t AS (SELECT doc_id, {MARKED} || string_split(text, chr(10))[1] AS line FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(line, '^[•◦▪‣⁃*+-][SPACE]+.+$') THEN 'bullet' WHEN regexp_matches(line, '^[0-9]{{1,9}}[.)][SPACE]+.+$') THEN 'ordered' END AS kind,
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS part, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS n FROM documents),
+t AS (SELECT doc_id, n::INT AS n, {MARKED} || part AS line FROM l)
+SELECT doc_id, n AS line, CASE WHEN regexp_matches(line, '^[•◦▪‣⁃*+-][SPACE]+.+$') THEN 'bullet' WHEN regexp_matches(line, '^[0-9]{{1,9}}[.)][SPACE]+.+$') THEN 'ordered' END AS kind,
   TRY_CAST(nullif(regexp_extract(line, '^([0-9]{{1,9}})[.)][SPACE]+(.+)$', 1), '') AS BIGINT) AS ordinal,
   coalesce(nullif(regexp_extract(line, '^[•◦▪‣⁃*+-][SPACE]+(.+)$', 1), ''), nullif(regexp_extract(line, '^([0-9]{{1,9}})[.)][SPACE]+(.+)$', 2), '')) AS content FROM t
 """
 )
 def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of every text, counted from 0; the SQL has first lines only, and no number. Tests hold it against a loop."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "text"))
+    """Every line of every text, counted from 0."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "text"))
     text = F.concat(F.expr(MARKED.replace("(doc_id % 50) || ", "CAST(doc_id % 50 AS STRING) || ")), F.col("text"))
     return lines.select("doc_id", "line", quality.list_marker(text).alias("m")).select("doc_id", "line", "m.kind", "m.ordinal", "m.content")
 
 
-@query()
+@query(
+    r"""
+WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '(\p{Ll}{9})(\p{Ll}{3})', '\1-' || chr(10) || '\2', 'g'), chr(10)), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, coalesce(list_reduce(l, lambda a, b: CASE
+  WHEN ends_with(a, chr(173)) AND regexp_matches(b, '^[a-z]+(?:[^\p{L}\p{N}_]|$)') OR regexp_matches(a, '[A-Za-z]{2}-$') AND regexp_matches(b, '^([a-z]*(?:SUFFIX))(?:[^\p{L}\p{N}_]|$)') THEN a[:-2] || b
+  WHEN regexp_matches(a, '[- \n]$') OR regexp_matches(b, '^[,.;:!?)\]}，。；：！？]') THEN a || b ELSE a || ' ' || b END), '') AS paragraph
+FROM t WHERE l IS NOT NULL AND len(l) > 0 UNION ALL SELECT doc_id, CASE WHEN text IS NOT NULL THEN '' END FROM documents WHERE text IS NULL OR len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) = 0
+""".replace("SUFFIX", "|".join(quality.SUFFIXES))
+)
 def paragraph_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered fold; tests hold it against a loop."""
     broken = F.split(F.regexp_replace("text", r"(\p{Ll}{9})(\p{Ll}{3})", "$1-\n$2"), "\n", -1)
     return table(spark, sf_dir, "documents").select("doc_id", quality.join_lines(broken).alias("paragraph"))
 
@@ -161,7 +169,7 @@ def vector_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS = f"""
 WITH v AS (SELECT vec_id, label, {BOX}),
 p AS (SELECT a.vec_id AS a, b.vec_id AS b, greatest(least(a.r, b.r) - greatest(a.l, b.l), 0) * greatest(least(a.b, b.b) - greatest(a.t, b.t), 0) AS i, (a.r - a.l) * (a.b - a.t) + (b.r - b.l) * (b.b - b.t) AS s
-  FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 10 = 0)
+  FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id)
 """
 
 
@@ -175,13 +183,14 @@ def bbox_pairs_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH v AS (SELECT vec_id, label, {BOX}), t AS (SELECT * FROM v WHERE vec_id % 7 = 0)
-SELECT vec_id, label FROM v WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.label = v.label AND (v.l + v.r) / 2 BETWEEN t.l AND t.r AND (v.t + v.b) / 2 BETWEEN t.t AND t.b)
+WITH v AS (SELECT vec_id, label, {BOX})
+SELECT vec_id, label FROM v WHERE NOT EXISTS (SELECT 1 FROM v t WHERE t.label = v.label AND t.vec_id <> v.vec_id AND (v.l + v.r) / 2 BETWEEN t.l AND t.r AND (v.t + v.b) / 2 BETWEEN t.t AND t.b)
 """
 )
 def center_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every box is a word, and a table to all others of its label."""
     v = vector_boxes(spark, sf_dir)
-    return geometry.unowned(v, v.where("vec_id % 7 = 0"), ["label"]).select("vec_id", "label")
+    return geometry.unowned(v, v, ["label"], apart="vec_id").select("vec_id", "label")
 
 
 @query(
@@ -221,12 +230,11 @@ def page_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", "r.route", "r.reason")
 
 
-GRID = "SELECT DISTINCT event_type AS sheet, (user_id % 40)::INT AS row, (event_id % 37)::INT AS col FROM events WHERE event_id % 9 = 0"
+GRID = "SELECT DISTINCT event_type AS sheet, user_id::INT AS row, (event_id % 37)::INT AS col FROM events"
 
 
 def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cell for every event: rows by user, so that the grid stays sparse. The SQL has a ninth of the events, on 40 rows; tests hold
-    the regions against a flood fill."""
+    """A cell for every event: rows by user, so that the grid stays sparse."""
     cells = table(spark, sf_dir, "events")
     return cells.select(F.col("event_type").alias("sheet"), F.col("user_id").cast("int").alias("row"), (F.col("event_id") % 37).cast("int").alias("col")).distinct()
 
@@ -235,7 +243,7 @@ COMPONENTS = f"""
 RECURSIVE g AS ({GRID}), reach AS (
   SELECT sheet, row, col, row AS r0, col AS c0 FROM g
   UNION SELECT g.sheet, g.row, g.col, reach.r0, reach.c0 FROM reach JOIN g ON g.sheet = reach.sheet AND abs(g.row - reach.row) + abs(g.col - reach.col) = 1
-), seed AS (SELECT sheet, row, col, min(r0 * 1000 + c0) AS s FROM reach GROUP BY ALL), lab AS (SELECT sheet, row, col, (dense_rank() OVER (PARTITION BY sheet ORDER BY s) - 1)::INT AS region FROM seed)
+), seed AS (SELECT sheet, row, col, min(r0::BIGINT * 1000 + c0) AS s FROM reach GROUP BY ALL), lab AS (SELECT sheet, row, col, (dense_rank() OVER (PARTITION BY sheet ORDER BY s) - 1)::INT AS region FROM seed)
 """
 
 
@@ -403,7 +411,7 @@ LOG = "'user ' || user_id || ' TOKEN=abc' || event_id || ' opened /srv/data/' ||
 
 
 @query(
-    rf"SELECT event_id, regexp_replace(regexp_replace({LOG}, '(?i)\b(api_key|token|provider_payload|prompt)=\S+', '\1=[REDACTED]', 'g'), '(^|[^A-Za-z0-9_.])/[^\s]+', '\1[REDACTED]', 'g') AS message FROM events"
+    rf"SELECT event_id, regexp_replace(regexp_replace({LOG}, '(?i)\b(api_key|token|provider_payload|prompt)=\S+', '\1=[REDACTED]', 'g'), '(^|[^\p{{L}}\p{{N}}_.])/[^\s]+', '\1[REDACTED]', 'g') AS message FROM events"
 )
 def redact_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.concat(F.lit("user "), F.col("user_id").cast("string"), F.lit(" TOKEN=abc"), F.col("event_id").cast("string"), F.lit(" opened /srv/data/"), F.col("event_type"), F.lit(".txt at a/b, prompt=x\n"))

@@ -1,17 +1,41 @@
-"""A cut of the lineage that survives lost executors."""
+"""Cuts of the lineage that survive lost executors."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir. Where the setting is absent, a local session gets a temporary folder, and any
+    other master an error: executors would write where nobody else reads."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if not at and held.isDefined():
+        at = held.get()
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="foliomill-")
+    if not held.isDefined():
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def place(spark: SparkSession) -> str:
+    """A new path below the shared folder; what is written there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/foliomill/{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
-    """`df` written once below the folder in spark.checkpoint.dir and read again; in a temporary folder where that is unset (local runs)."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliomill-")
-    path = f"{at.rstrip('/')}/foliomill/{uuid.uuid4().hex}"
+    """`df` written once to the shared folder and read again."""
+    path = place(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
@@ -14,8 +13,10 @@ from pyspark.sql import functions as F
 
 from foliomill.operators import geometry, vision
 from foliomill.plans import documents
-from foliomill.plans.core_queries import vector_boxes
+from foliomill.plans.core_queries import BOX, vector_boxes
+from foliomill.plans.lineage import place
 from foliomill.plans.text_queries import table
+from foliomill.streaming import ingest
 
 QUERIES, ORACLE_SQL = {}, {}
 RELATION = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/"
@@ -121,9 +122,16 @@ def vision_json_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.size("e").alias("n"), F.col("e")[0]["text"].alias("first"), F.col("e")[1]["text"].alias("second"))
 
 
-@query()
+@query(
+    f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, {BOX}), o AS (SELECT label, vec_id, {{'l': l, 't': t, 'r': r, 'b': b, 'a': (r - l) * (b - t)}} AS x, row_number() OVER (PARTITION BY label ORDER BY (r - l) * (b - t) DESC, t, l, vec_id) AS n FROM v WHERE (r - l) * (b - t) > 0),
+s AS (SELECT label, vec_id, n, true AS keep, [x] AS kept FROM o WHERE n = 1
+  UNION ALL SELECT label, vec_id, n, ok, CASE WHEN ok THEN list_append(kept, x) ELSE kept END FROM (SELECT o.label, o.vec_id, o.n, o.x, s.kept, len(list_filter(s.kept, lambda k: greatest(least(k.r, o.x.r) - greatest(k.l, o.x.l), 0) * greatest(least(k.b, o.x.b) - greatest(k.t, o.x.t), 0) >= 0.8 * (k.a + o.x.a - greatest(least(k.r, o.x.r) - greatest(k.l, o.x.l), 0) * greatest(least(k.b, o.x.b) - greatest(k.t, o.x.t), 0)))) = 0 AS ok FROM s JOIN o ON o.label = s.label AND o.n = s.n + 1))
+SELECT label, vec_id FROM s WHERE keep
+"""
+)
 def table_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes that stay when larger ones take those they overlap: an order-dependent choice within a page, held against a loop in tests."""
+    """Boxes that stay when larger ones take those they overlap: an order-dependent choice within a page."""
     boxes = vector_boxes(spark, sf_dir).where(geometry.area(F.col("box")) > 0).select("label", "vec_id", geometry.area(F.col("box")).alias("area"), "box.*")
     return chosen(boxes, "label")
 
@@ -145,14 +153,14 @@ def chosen(boxes: DataFrame, page: str, overlap: float = 0.8) -> DataFrame:
     return boxes.groupBy(page).applyInPandas(keep, f"{page} {boxes.schema[page].dataType.simpleString()}, vec_id long")
 
 
-@query("SELECT DISTINCT n_name AS name FROM nation")
+@query("SELECT DISTINCT sha256(text) AS digest FROM documents WHERE text IS NOT NULL")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table read as a stream, deduplicated by its digest, taken up until nothing is left, and told from the sink."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/foliomill").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
-    table(spark, sf_dir, "nation").selectExpr("n_name AS name", "current_timestamp() AS at").write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("name string, at timestamp").parquet(f"{folder}/in").withWatermark("at", "1 hour").dropDuplicatesWithinWatermark(["name"])
-    stream.select("name").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("name string").parquet(f"{folder}/out")
+    """All texts read as a stream, deduplicated by their digest, taken up until nothing is left, and told from the sink."""
+    folder = place(spark)
+    table(spark, sf_dir, "documents").where("text IS NOT NULL").select("text", F.current_timestamp().alias("modified")).write.parquet(f"{folder}/in")
+    stream = ingest.fresh(spark.readStream.schema("text string, modified timestamp").parquet(f"{folder}/in")).select("digest")
+    ingest.to_parquet(stream, f"{folder}/out", f"{folder}/cp").awaitTermination()
+    return spark.read.schema("digest string").parquet(f"{folder}/out")
 
 
 @query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id)::INT AS rank FROM documents QUALIFY rank <= 3")
