@@ -7,7 +7,7 @@ Words longer than `SHORT` parts take a heap with the same order of merges (least
 word cannot take quadratic time.
 
 Input: documents (doc_id, text). Null text counts as empty: no tokens, empty decoded text. Null or repeated doc_ids are kept,
-one output row for each input row. An empty table gives an empty table. Columns other than doc_id and text are ignored.
+one output row for each input row. Texts of any length are taken whole; ties of ranks go to the leftmost. An empty table gives an empty table. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -40,6 +40,17 @@ FIELD = re.compile(f"[^{SPACES}]+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+#: Characters that Unicode has not had since version 3.2: letters, case and order of marks of these differ between the tables of
+#: Python, of `regex` and of the library, so their words are normalised and split by the library itself.
+@lru_cache(maxsize=1)
+def recent() -> re.Pattern:
+    old = unicodedata.ucd_3_2_0.category
+    marks = [i for i in range(0x80, 0x10000) if old(chr(i)) in ("Cn", "Co", "Cs")]
+    starts = [i for i, c in enumerate(marks) if i == 0 or marks[i - 1] != c - 1]
+    ends = [*starts[1:], len(marks)]
+    return re.compile("[" + "".join(f"\\u{marks[a]:04x}-\\u{marks[b - 1]:04x}" for a, b in zip(starts, ends)) + "\\U00010000-\\U0010ffff]")
+
+
 def words_of(text: str) -> list[str]:
     """Runs without white space."""
     return FIELD.findall(text) if SEPARATORS.search(text) else text.split()
@@ -86,6 +97,22 @@ class Bpe:
         self.inner_ids, self.last_ids, self.merged_ids = (np.array(x, np.int32) for x in (self.inner, self.last, self.merged))
         self.slots, self.slot_ranks = self._hashed()
         self.plain: dict[str, str] = {}
+        self.path, self.spec = path, spec
+
+    @cached_property
+    def library(self):
+        """The library's normaliser and splitter of this vocabulary."""
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        split = next(x for x in self.spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        return Tokenizer.from_file(self.path).normalizer, pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
+
+    def cut(self, run: str) -> list[str]:
+        """The pieces of the split of a run without white space and special tokens."""
+        if run.isascii() or not recent().search(run):
+            return self.pieces(self.normal(run))
+        normal, split = self.library
+        return [piece for piece, _ in split.pre_tokenize_str(normal.normalize_str(run))]
 
     def _hashed(self) -> tuple[np.ndarray, np.ndarray]:
         """Ranks by pair in a table with linear probing, so that many pairs are looked up at once; a pair at most `reach` slots on."""
@@ -196,10 +223,10 @@ class Bpe:
         if word.isascii() and word.isalpha():
             return [word.lower()]
         if "<" not in word:
-            return self.pieces(self.normal(word))
+            return self.cut(word)
         out: list[str | int] = []
         for k, run in enumerate(self.split_special.split(word)):
-            out += [self.special[run]] if k % 2 else self.pieces(self.normal(run))
+            out += [self.special[run]] if k % 2 else self.cut(run)
         return out
 
     def words(self, words: list[str], known: dict[str, list[int]] | None = None) -> list[list[int]]:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.plans.lineage import written
+
+__all__ = ["BATCH_ROWS", "BROADCAST_ROWS", "few", "identity", "remainder", "short", "slots", "table", "texts", "written"]
+
 #: Rows that a Python function looks at together; texts are long, so these are few. Arrow batches are bounded in bytes by Spark.
 BATCH_ROWS = 256
 #: A table is broadcast only when it was counted and has no more rows than this.
@@ -50,34 +51,6 @@ def remainder(doc_id: str, parts: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where the setting is absent, a local session gets a temporary folder, and any
-    other master an error: executors would write where nobody else reads."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if not at and held.isDefined():
-        at = held.get()
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        at = tempfile.mkdtemp(prefix="foliomill-")
-    if not held.isDefined():
-        sc.setCheckpointDir(at)
-    return at
-
-
-def written(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder and read again: a cut of the lineage that survives lost executors. The table goes when
-    the session's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/foliomill/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, marked for broadcast if it was counted and has no more than `rows` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,7 +1,8 @@
 """URL filters by a temporal list join (operator 8), in DataFrame functions only.
 
 A list is a history: dated entries that block, allow or remove a pattern. A pattern is a host, which covers its subdomains, and
-may have a path prefix. An entry holds from its date until the pattern's next entry; of entries of one pattern and date the
+may have a path prefix; hosts are compared in lower case, paths as they are written, and an address in brackets is one host
+without parents. An entry holds from its date until the pattern's next entry; of entries of one pattern and date the
 last of allow, block, remove counts. Every capture is joined as of its fetch date with the intervals of its host and all
 parent domains. Of the entries active then the most specific decides: most labels in the host, then the longest path.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from foliomill.llm.common import BROADCAST_ROWS
 
 #: The host and the path of a URL.
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
@@ -32,21 +33,18 @@ def host_of(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """pattern, domain, prefix, verdict, valid_from, valid_to: when each entry holds; removals leave no interval."""
-    rows = entries.select(F.lower("pattern").alias("pattern"), F.lower("action").alias("verdict"), F.col("dated").cast("date").alias("valid_from"))
-    rows = rows.where(F.col("pattern").isNotNull() & F.col("valid_from").isNotNull() & F.col("verdict").isin("allow", "block", "remove"))
-    rows = rows.groupBy("pattern", "valid_from").agg(F.max("verdict").alias("verdict"))
+    rows = entries.select(F.regexp_replace("pattern", r"^[^/]*", "").alias("prefix"), F.lower(F.regexp_extract("pattern", r"^[^/]*", 0)).alias("domain"), F.lower("action").alias("verdict"), F.col("dated").cast("date").alias("valid_from"))
+    rows = rows.where(F.col("domain").isNotNull() & F.col("valid_from").isNotNull() & F.col("verdict").isin("allow", "block", "remove")).withColumn("pattern", F.concat("domain", "prefix"))
+    rows = rows.groupBy("pattern", "domain", "prefix", "valid_from").agg(F.max("verdict").alias("verdict"))
     rows = rows.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy("pattern").orderBy("valid_from")))
-    slash = F.instr("pattern", "/")
-    domain = F.when(slash > 0, F.substring(F.col("pattern"), F.lit(1), slash - 1)).otherwise(F.col("pattern"))
-    prefix = F.when(slash > 0, F.expr("substring(pattern, instr(pattern, '/'))")).otherwise("")
-    return rows.where("verdict <> 'remove'").select("pattern", domain.alias("domain"), prefix.alias("prefix"), "verdict", "valid_from", "valid_to")
+    return rows.where("verdict <> 'remove'").select("pattern", "domain", "prefix", "verdict", "valid_from", "valid_to")
 
 
 def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """The verdict on every capture by the entries that were active when it was fetched."""
     rows = captures.select("page_id", "url", F.col("fetched_on").cast("date").alias("fetched_on")).groupBy("page_id", "url", "fetched_on").agg(F.count("*").alias("times"))
-    rows = rows.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("path", F.lower(F.regexp_extract("url", PATH, 1)))
-    labels = F.split("host", r"\.")
+    rows = rows.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("path", F.regexp_extract("url", PATH, 1))
+    labels = F.when(F.col("host").startswith("["), F.array("host")).otherwise(F.split("host", r"\."))
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     held = intervals(entries)
     few = held.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -80,8 +78,8 @@ def sample_history(pages: DataFrame) -> DataFrame:
 SQL = r"""
 WITH cap AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INT) AS DATE) AS fetched_on,
-    rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '.') AS host,
-    lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) AS path, row_number() OVER () AS row_id
+    rtrim(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)', 1)), '.') AS host,
+    regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS row_id
   FROM pages
 ), pat AS (
   SELECT DISTINCT pattern, CAST('0x' || substr(md5(pattern), 1, 6) AS INT) AS n

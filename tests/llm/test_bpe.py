@@ -74,3 +74,14 @@ def test_counted_documents(spark, library):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (out[i].n_bytes, out[i].n_tokens, out[i].over_limit) == (len((t or "").encode()), n, n > 2048)
     assert tokencount.count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_every_code_point_equals_the_library(library):
+    ours, r = bpe.load(PATH), random.Random(8)
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for first in range(0, len(points), 64):  # each between two letters, many in one text
+        text = " ".join(f"a{chr(c)}b" for c in points[first : first + 64])
+        assert ours.encode(text) == library.encode(text, add_special_tokens=False).ids
+    for _ in range(2000):
+        text = "".join(chr(r.choice(points)) if r.random() < 0.7 else r.choice("aB' 9̣́") for _ in range(r.randrange(1, 12)))
+        assert ours.encode(text) == library.encode(text, add_special_tokens=False).ids, ascii(text)

@@ -97,3 +97,63 @@ def test_one_class_or_none(spark, marks, want):
     model = toxicity.fit(d, spark.createDataFrame(marks, "doc_id long, toxic int"))
     assert {x.predicted for x in toxicity.score(d, model).collect()} == {want}
     assert toxicity.score(d.limit(0), model).count() == 0
+
+
+def plain_language(text, model):
+    """lang and score of a text by plain counting of its hashed n-grams."""
+    from collections import Counter
+
+    tf = Counter(int(b) for _, bucket in ngrams.grams([text], langid.SIZES, langid.DIMS) for b in bucket)
+    x = {b: np.log1p(n) * float(model.idf[b]) for b, n in tf.items()}
+    size = max(np.sqrt(sum(v * v for v in x.values())), 1e-9)
+    z = np.array([float(model.weights[-1, c]) + sum(v / size * float(model.weights[b, c]) for b, v in x.items()) for c in range(len(model.langs))]) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.langs[int(p.argmax())], float(p.max())
+
+
+def test_language_scores_equal_a_plain_sum(spark):
+    rows = [*texts(200, seed=9), (500, "der die " * 20_000, "de"), (501, "x", None), (502, "Ωμέγα ß", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample=90)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for i, text, _ in rows[::9] + rows[-3:]:
+        lang, score = plain_language(text, model)
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-3
+
+
+def test_only_the_most_frequent_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CLASSES", 2)
+    docs = spark.createDataFrame(texts(300), "doc_id long, text string, lang string")
+    assert langid.fit(docs, sample=60).langs == ["de", "en"]
+
+
+def test_toxicity_scores_equal_a_plain_sum(spark):
+    rows = [(i, t + (" rascals" if i % 5 == 1 else ""), "x") for i, t, _ in texts(200, seed=3)] + [(900, "scoundrel " * 20_000, "x"), (901, None, "x"), (902, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(200)] + [(1, 0)], "doc_id long, toxic int")  # two labels: the larger counts
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for i, text, _ in rows[::11] + rows[-3:]:
+        buckets = {int(b) for _, bucket in ngrams.grams([text or ""], toxicity.SIZES, toxicity.DIMS) for b in bucket}
+        z = model.bias + sum(float(model.weights[b]) for b in buckets)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_ratios_count_beyond_their_error_only():
+    counts, seen = np.array([[50.0, 0, 5, 0], [5.0, 0, 50, 1]]), np.array([100, 100])
+    r = toxicity.ratios(counts, seen)
+    assert r[0] < -0.5 and r[2] > 0.5 and r[1] == 0 and r[3] == 0
+
+
+def test_dual_descent_finds_the_least_loss():
+    r = np.random.default_rng(1)
+    rows = [np.flatnonzero(r.random(12) < 0.4) for _ in range(80)]
+    y = np.array([int(len(set(at) & {0, 1, 2}) > 1) for at in rows])
+    scale, cost = r.normal(1, 0.3, 12), np.full(80, 0.5)
+    w, b = toxicity.logistic(rows, y, scale, cost, epochs=500)
+    x = np.zeros((80, 13))
+    for i, at in enumerate(rows):
+        x[i, at], x[i, 12] = scale[at], 1
+    u, s = np.append(w, b), np.where(y == 1, 1.0, -1.0)
+    gradient = u - x.T @ (cost * s / (1 + np.exp(s * (x @ u))))
+    assert np.abs(gradient).max() < 0.02

@@ -82,3 +82,22 @@ def test_stages_equal_plain_versions(spark, folder, tmp_path):
         assert list(last[i].ids) == ids and last[i].ids_sha256 == sha256(" ".join(map(str, ids)).encode()).hexdigest()
     whole = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, folder).collect()}
     assert whole == {i: r.ids_sha256 for i, r in last.items()}
+
+
+def test_odd_rows_pass_through_every_stage(spark, tmp_path):
+    text = " ".join(f"w{i % 7}x{i}" for i in range(60))
+    other = " ".join(f"v{i % 5}y{i}" for i in range(60))
+    rows = [(1, text), (1, other), (1, text), (None, "a text without an id that is like no other one here"), (None, None), (2, None), (3, ""), (None, "another text without an id that is unlike the first one, and so on")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], schema)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, text), (1, other), rows[3], rows[7], (2, None)], key=str)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in out), key=str) == [1, 1, 2, None, None]
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name

@@ -8,16 +8,18 @@ def brute(captures, entries):
     history = {}
     for pattern, action, dated in entries:
         if pattern and dated and action in ("allow", "block", "remove"):
-            key = history.setdefault(pattern.lower(), {})
+            domain, slash, tail = pattern.partition("/")
+            key = history.setdefault(domain.lower() + slash + tail, {})
             key[dated] = max(action, key.get(dated, ""))
     out = []
     for page, url, day in captures:
         found, rest = [], (url or "").split("://", 1)
         host = path = ""
         if len(rest) == 2:
-            body = rest[1].split("#")[0].split("?")[0].lower()
+            body = rest[1].split("#")[0].split("?")[0]
             host, _, tail = body.partition("/")
-            host, path = host.split("@")[-1].split(":")[0].rstrip("."), "/" + tail if "/" in body else ""
+            host, path = host.split("@")[-1].lower(), "/" + tail if "/" in body else ""
+            host = host.split("]")[0] + "]" if host.startswith("[") else host.split(":")[0].rstrip(".")
         for pattern, dates in history.items():
             domain, slash, tail = pattern.partition("/")
             if host and day and (host == domain or host.endswith("." + domain)) and path.startswith(slash + tail):
@@ -33,10 +35,10 @@ def test_verdicts_equal_brute_force(spark):
     r = random.Random(1)
     day = lambda: dt.date(2024, 1, 1) + dt.timedelta(r.randrange(300))
     hosts = ["a.example.com", "example.com", "b.a.example.com", "other.org", "x.other.org", "xexample.com"]
-    entries = [(r.choice([*hosts, "com", "Example.com/en", "other.org/a/b"]), r.choice(["allow", "block", "remove"]), day()) for _ in range(60)]
+    entries = [(r.choice([*hosts, "com", "Example.com/en", "other.org/a/b", "[::1]"]), r.choice(["allow", "block", "remove"]), day()) for _ in range(60)]
     entries += [(None, "block", day()), ("other.org", "block", None), ("other.org", "paint", day())] + entries[:3]
     captures = [(i, f"{r.choice(['http', 'https'])}://{r.choice(['', 'u:p@'])}{r.choice(hosts)}{r.choice(['', ':80', '.'])}{r.choice(['', '/', '/en/1', '/EN', '/a/b?q=1', '?x#y'])}", day()) for i in range(400)]
-    captures += [(900, None, day()), (901, "no url", day()), (902, "http://a.example.com/", None), (None, "http://a.example.com/", day())] + captures[:5]
+    captures += [(900, None, day()), (901, "no url", day()), (902, "http://a.example.com/", None), (903, "http://[::1]:80/x", dt.date(2024, 12, 1)), (None, "http://a.example.com/", day())] + captures[:5]
     caps = spark.createDataFrame([(*c, "v") for c in captures], "page_id long, url string, fetched_on date, verdict string")
     ents = spark.createDataFrame(entries, "pattern string, action string, dated date")
     got = urlfilter.verdicts(caps, ents)
