@@ -55,3 +55,56 @@ def dense(boxes_: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     filled = spread.join(texts, [key, "row", "col"], "left").select(key, "region", "row", "col", F.coalesce("text", F.lit("")).alias("text"))
     lines = filled.groupBy(key, "region", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"]).alias("cells"))
     return lines.groupBy(key, "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda x: x["cells"]).alias("grid"))
+
+
+SHEET_BLOCK = "row int, col int, kind string, grid array<array<string>>, cells array<struct<row:int,column:int,row_span:int,column_span:int,text:string>>, row_count int, header_rows int"
+
+
+def sheet_tables(texts: dict[tuple[int, int], str], merges: list[tuple], areas: list[tuple[tuple, int]]) -> list[dict]:
+    """The tables of a sheet as rows of SHEET_BLOCK: its own tables first-class, then a table for each region of connected cells
+    outside them. A merge belongs to the table that contains it, else its footprint joins regions; tables with merges are spanned.
+    """
+    holds = lambda outer, inner: outer[0] <= inner[0] and outer[1] <= inner[1] and outer[2] >= inner[2] and outer[3] >= inner[3]
+    taken = {(r, c) for (t, l, b, q), _ in areas for r in range(t, b + 1) for c in range(l, q + 1)}
+    free = {x for x in texts if x not in taken}
+    loose = [m for m in merges if not any(holds(a, m) for a, _ in areas)]
+    free |= {(r, c) for t, l, b, q in loose for r in range(t, b + 1) for c in range(l, q + 1)} - taken
+    places = [(a, header, [m for m in merges if holds(a, m)]) for a, header in areas]
+    if free:
+        cells = np.array(sorted(free), np.int64)
+        label = labelled(cells[:, 0], cells[:, 1])
+        for n in np.unique(label):
+            own = cells[label == n]
+            box = (int(own[:, 0].min()), int(own[:, 1].min()), int(own[:, 0].max()), int(own[:, 1].max()))
+            places.append((box, 0, [m for m in loose if holds(box, m)]))
+    out = []
+    for (top, left, bottom, right), header, own in places:
+        grid = [[texts.get((r, c), "") for c in range(left, right + 1)] for r in range(top, bottom + 1)]
+        if not any(x.strip() for row in grid for x in row):
+            continue
+        row = {"row": top, "col": left, "kind": "table", "grid": grid, "cells": None, "row_count": None, "header_rows": header}
+        if own:
+            span = {(t, l): (b - t + 1, q - l + 1) for t, l, b, q in own}
+            hidden = {(r, c) for t, l, b, q in own for r in range(t, b + 1) for c in range(l, q + 1)} - set(span)
+            cells_ = [{"row": r - top, "column": c - left, "row_span": span.get((r, c), (1, 1))[0], "column_span": span.get((r, c), (1, 1))[1], "text": texts.get((r, c), "")} for r in range(top, bottom + 1) for c in range(left, right + 1) if (r, c) not in hidden]
+            row |= {"kind": "spanned_table", "grid": None, "cells": cells_, "row_count": bottom - top + 1}
+        out.append(row)
+    return out
+
+
+def tables(parts: DataFrame, key: str) -> DataFrame:
+    """key and SHEET_BLOCK: the tables of every sheet, from rows of kind text (row, col, text), merge and area (box, header_rows).
+    A sheet is bounded by the limits on its cells."""
+
+    def of(frame: pd.DataFrame) -> pd.DataFrame:
+        some = frame[frame["kind"] == "text"]
+        texts = dict(zip(zip(some["row"].astype(int), some["col"].astype(int)), some["text"]))
+        box = lambda x: tuple(map(int, x))
+        merges = [box(b) for b in frame[frame["kind"] == "merge"]["box"]]
+        areas = [(box(b), int(h)) for b, h in zip(frame[frame["kind"] == "area"]["box"], frame[frame["kind"] == "area"]["header_rows"])]
+        out = pd.DataFrame(sheet_tables(texts, sorted(merges), sorted(areas)), columns=["row", "col", "kind", "grid", "cells", "row_count", "header_rows"])
+        out.insert(0, key, frame[key].iloc[0])
+        return out.astype({"row_count": "Int32", "header_rows": "Int32"})
+
+    kind = parts.schema[key].dataType.simpleString()
+    return parts.select(key, "kind", "row", "col", "text", "box", "header_rows").groupBy(key).applyInPandas(of, f"{key} {kind}, {SHEET_BLOCK}")

@@ -7,7 +7,9 @@ and formatted by column functions. Decimals are rounded half up before they are
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,64 @@ def specs(spark: SparkSession, formats: list[str]) -> DataFrame:
     return spark.createDataFrame([row for f in formats for row in compiled(f)], SPEC)
 
 
+#: What is written of a date format: the day, the time of day; a wide hour, a half day's hours, seconds, digits of their fraction,
+#: and the unit of a total (h, m or s; wide if doubled).
+DATES = "fmt string, day boolean, time boolean, wide boolean, half boolean, seconds boolean, fraction int, total string"
+
+
+def date_row(fmt: str) -> tuple:
+    """A row of DATES."""
+    low = re.sub(r'"[^"]*"|\\.|_.|\*.', "", fmt.lower())
+    total, low = ELAPSED.search(low), low.replace("am/pm", "~")
+    rest = re.sub(r"\[[^\]]*\]", "", low)
+    return (fmt, bool(re.search("[yd]", rest)) or bool(re.fullmatch(r"[^hs]*m[^hs]*", rest)) and not total, bool(re.search("[hs]", rest)), "hh" in rest, "~" in low, "s" in rest, len((re.search(r"s\.(0+)", rest) or ["", ""])[1]), total[1] if total else None)
+
+
+def tables_of(formats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SPEC and DATES rows for the distinct formats of a table (fmt); compiled where they lie, not on the driver."""
+
+    def numbers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([r for x in f["fmt"] for r in compiled(x)], columns=[c.split()[0] for c in SPEC.split(", ")])
+
+    def dates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([date_row(x) for x in f["fmt"] if is_date(x) and supported(x)], columns=[c.split()[0] for c in DATES.split(", ")])
+
+    once = formats.select("fmt").where("fmt IS NOT NULL").distinct()
+    return once.mapInPandas(numbers, SPEC), once.mapInPandas(dates, DATES)
+
+
+def format_dates(cells: DataFrame, dates: DataFrame) -> DataFrame:
+    """`cells` (value: serial number, fmt, date1904) with date_text, null where the format is no date; the day is always written
+    as year, month and day, the time as its format says."""
+    c, two = F.col, lambda x: F.lpad(x.cast("string"), 2, "0")
+    rows = cells.join(dates, "fmt", "left")
+    digits = F.coalesce(c("fraction"), F.lit(0))
+    unit = F.pow(F.lit(10), digits)
+    serial = c("value").cast("double")
+    ticks = F.round(serial * 86400 * unit, 0).cast("long")  # seconds and their fraction, rounded half up
+    whole, part = F.floor(ticks / unit).cast("long"), F.pmod(ticks, unit.cast("long"))
+    days = F.floor(whole / 86400)
+    days = days + F.when(~c("date1904") & (days >= 1) & (days < 60), 1).otherwise(0)
+    of_day = F.pmod(whole, F.lit(86400))
+    day = F.date_format(F.date_add(F.when(c("date1904"), F.lit("1904-01-01")).otherwise(F.lit("1899-12-30")).cast("date"), days.cast("int")), "yyyy-MM-dd")
+    hour, minute, second = F.floor(of_day / 3600), F.floor(of_day % 3600 / 60), of_day % 60
+    tail = F.when(digits > 0, F.concat(F.lit("."), F.lpad(part.cast("string"), digits, F.lit("0")))).otherwise("")
+    shown = F.when(c("half"), F.when(hour % 12 == 0, 12).otherwise(hour % 12)).otherwise(hour)
+    clock_ = F.concat(F.when(c("wide"), two(shown)).otherwise(shown.cast("string")), F.lit(":"), two(minute), F.when(c("seconds"), F.concat(F.lit(":"), two(second), tail)).otherwise(""))
+    clock_ = F.concat(clock_, F.when(~c("half"), "").when(hour < 12, " AM").otherwise(" PM"))
+    size = F.abs(whole)
+    wide = F.length("total") > 1
+    lead = lambda x: F.when(wide & (F.length(x.cast("string")) < 2), two(x)).otherwise(x.cast("string"))
+    kind = F.substring("total", 1, 1)
+    end = F.when(c("seconds"), F.concat(F.lit(":"), two(size % 60), tail)).otherwise("")
+    total = F.when(kind == "h", F.concat(lead(F.floor(size / 3600)), F.lit(":"), two(F.floor(size % 3600 / 60)), end)).when(kind == "m", F.concat(lead(F.floor(size / 60)), end)).otherwise(F.concat(size.cast("string"), tail))
+    total = F.when(ticks < 0, F.concat(F.lit("-"), total)).otherwise(total)
+    text = F.when(c("total").isNotNull(), total).when(c("day") & c("time"), F.concat(day, F.lit(" "), clock_)).when(c("day"), day).when(c("time"), clock_)
+    return rows.withColumn("date_text", text).drop(*(x.split()[0] for x in DATES.split(", ") if x.split()[0] != "fmt"))
+
+
 def plain_decimal(value: Column) -> Column:
     """A decimal without trailing zeros."""
     text = value.cast("string")
@@ -96,8 +156,8 @@ def format_numbers(cells: DataFrame, specs_: DataFrame) -> DataFrame:
     c = F.col
     sections = specs_.groupBy("fmt").agg(F.count("*").alias("n"))
     picked = F.when((c("value") < 0) & (c("n") > 1), 1).when((c("value") == 0) & (c("n") > 2), 2).otherwise(0)
-    rows = cells.join(F.broadcast(sections), "fmt", "left").withColumn("section", picked)  # a row or three for each distinct format
-    rows = rows.join(F.broadcast(specs_), ["fmt", "section"], "left")
+    rows = cells.join(sections, "fmt", "left").withColumn("section", picked)  # a row or three for each distinct format
+    rows = rows.join(specs_, ["fmt", "section"], "left")
     power = lambda base, n: F.pow(F.lit(base), n).cast("decimal(14,0)")
     shifted = F.abs(c("value")).cast("decimal(22,6)") * power(10, c("high") + 2 * c("percent"))
     whole_number = F.round((shifted / power(1000, c("scale"))).cast("decimal(38,6)"), 0).cast("decimal(32,0)").cast("string")

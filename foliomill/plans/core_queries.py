@@ -317,7 +317,7 @@ SELECT l_orderkey, l_linenumber, CASE f WHEN 0 THEN sign || '$' || format('{{:,}
 def number_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     fmt = F.array(*(F.lit(f) for f in FORMATS))[((F.col("l_orderkey") + F.col("l_linenumber")) % 8).cast("int")]
     cells = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.expr(AMOUNT), 2).cast("decimal(18,4)").alias("value"), fmt.alias("fmt"))
-    return values.format_numbers(cells, values.specs(spark, FORMATS)).select("l_orderkey", "l_linenumber", "text", "unsupported")
+    return values.format_numbers(cells, F.broadcast(values.specs(spark, FORMATS))).select("l_orderkey", "l_linenumber", "text", "unsupported")
 
 
 @query(

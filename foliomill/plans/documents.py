@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import pytext as T
-from foliomill.operators import detect, quality, regions, render, text, values, vision
+from foliomill.operators import detect, geometry, quality, records, regions, render, text, values, vision
+from foliomill.plans.lineage import few
 from foliomill.plans.lineage import written as written_once
-from foliomill.sources import office, package, pdf, sheets
+from foliomill.sources import layout, office, package, pdf, sheets
 from foliomill.sources.files import FILE_BATCH
 
-RAW = "doc_id long, block_index int, kind string, text string, inlines array<struct<text:string,target:string>>, level int, ordinal int, page_number int, grid array<array<string>>, header_rows int, row_count int, cells array<struct<row:int,column:int,row_span:int,column_span:int,text:string>>, image binary, warning string, error_code string, sheet_index int, sheet string, state string, row int, col int, value string, fmt string, date1904 boolean"
+RAW = "doc_id long, block_index int, kind string, text string, inlines array<struct<text:string,target:string>>, level int, ordinal int, page_number int, grid array<array<string>>, header_rows int, row_count int, cells array<struct<row:int,column:int,row_span:int,column_span:int,text:string>>, image binary, warning string, error_code string, sheet_index int, sheet string, state string, row int, col int, value string, fmt string, date1904 boolean, box array<double>, font string, size double, failed boolean, has_text boolean, reliable boolean, image_share double, regions int, union_share double, rank int, anchor string, blocks array<struct<kind:string,level:int,inlines:array<struct<text:string,target:string>>,grid:array<array<string>>,header_rows:int>>"
 COLUMNS = [c.split()[0] for c in RAW.split(", ")]
 
 
@@ -43,15 +44,19 @@ def extracted(sources: DataFrame) -> DataFrame:
         elif kind == "xlsx":
             book = sheets.Workbook(content)
             for c in book.cells():
-                yield {**c, "kind": c["kind"] or "sheet", "date1904": book.date1904}
+                part = c.pop("part", None)
+                yield {**c, "kind": c["kind"] or "sheet", "text": c.pop("alt", None), "date1904": book.date1904, "image": book.p.read(part) if part else None}
             yield from ({"kind": "warning", "warning": f"{c}: {m}"} for c, m in book.warnings)
         else:
             for page in pdf.Pdf(content).page_facts():
+                blocks, about = layout.page_blocks(page)
                 yield {"kind": "page_break", "page_number": page["page_number"]}
-                if page["failed"] or not page["lines"] and page["has_image"]:
-                    yield {"kind": "visual_page", "page_number": page["page_number"]}
-                for line in page["lines"]:
-                    yield {"kind": "line", "text": line["text"], "page_number": page["page_number"], "value": str(line["size"])}
+                yield {"kind": "page", "page_number": page["page_number"], **about}
+                for b in blocks:
+                    b["box"] = list(b["box"])
+                    if b["kind"] == "table":
+                        b |= {"grid": [[c or "" for c in row] for row in b["grid"]], "header_rows": 0}
+                    yield {**b, "page_number": page["page_number"]}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -71,45 +76,102 @@ def extracted(sources: DataFrame) -> DataFrame:
     return sources.select("doc_id", "document_type", "content").mapInPandas(run, RAW)
 
 
-def sheet_blocks(cells: DataFrame) -> DataFrame:
-    """Blocks of workbooks: a heading for each sheet, then a table for each region of connected cells."""
+#: Places of blocks within a sheet, and within a slot of it.
+SHEET, SLOT = 10_000_000, 100
+
+
+def cell_texts(raw: DataFrame) -> DataFrame:
+    """doc_id, sheet_index, row, col, text of cells: numbers and dates by their formats. Distinct formats are compiled once, where
+    they lie, and joined; only few ones are broadcast."""
+    c = F.col
+    filled = raw.where("kind IN ('string', 'number', 'bool')").select("doc_id", "sheet_index", "row", "col", "kind", "value", "fmt", "date1904")
+    numbers = filled.where("kind = 'number'").drop("kind")
+    specs, dates = values.tables_of(numbers)
+    specs, dates = few(written_once(specs)), few(written_once(dates))
+    exact = numbers.withColumn("serial", c("value").try_cast("double")).withColumn("value", c("serial").cast("decimal(28,8)"))
+    shown = values.format_numbers(exact, specs).drop("value").withColumnRenamed("serial", "value")
+    shown = values.format_dates(shown, dates).withColumn("text", F.coalesce("date_text", "text"))
+    cols = ["doc_id", "sheet_index", "row", "col"]
+    texts = shown.select(*cols, "text").unionByName(filled.where("kind <> 'number'").select(*cols, c("value").alias("text")))
+    return texts.where(~T.is_blank(c("text")))
+
+
+def format_warnings(raw: DataFrame) -> DataFrame:
+    """doc_id, block_index, warning: numbers whose format is not written here; their saved value is shown."""
+    formats = raw.where("kind = 'number'").select("doc_id", "block_index", "sheet", "row", "col", "fmt").where("fmt IS NOT NULL AND lower(fmt) <> 'general'")
+
+    @F.pandas_udf("boolean")
+    def unknown(fmt: pd.Series) -> pd.Series:
+        seen = {f: not values.supported(f) for f in fmt.unique()}
+        return fmt.map(seen)
+
+    at = F.concat("sheet", F.lit("!"), records.column_letters(F.col("col")), F.col("row").cast("string"))
+    return formats.where(unknown("fmt")).select("doc_id", "block_index", F.concat(F.lit("xlsx_unsupported_number_format: "), at, F.lit(": the saved value is shown")).alias("warning"))
+
+
+def sheet_blocks(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks of workbooks: a heading for each sheet, then its tables and objects in order of their places; and the images, with
+    the place of each (doc_id, block_index, text, image)."""
+    c = F.col
     key = F.concat_ws(":", "doc_id", "sheet_index").alias("sheet_key")
-    state = F.when(F.col("state") == "hidden", "Hidden").when(F.col("state") == "veryHidden", "Very Hidden").otherwise("Visible")
+    state = F.when(c("state") == "hidden", "Hidden").when(c("state") == "veryHidden", "Very Hidden").otherwise("Visible")
     title = F.array(F.struct(F.concat("sheet", F.lit(" ("), state, F.lit(")")).alias("text"), F.lit(None).cast("string").alias("target")))
-    heads = cells.where("kind = 'sheet'").select("doc_id", (F.col("sheet_index") * 1_000_000).alias("block_index"), F.lit("heading").alias("kind"), title.alias("inlines"), F.lit(1).alias("level"))
-    filled = cells.where("kind IN ('string', 'number', 'bool')").select("doc_id", "sheet_index", key, "row", "col", "kind", "value", "fmt", "date1904")
-    numbers = filled.where("kind = 'number'").drop("kind").withColumn("number", F.col("value").try_cast("double").cast("decimal(28,8)")).drop("value")
-    formats = [r.fmt for r in numbers.select("fmt").distinct().collect()]  # distinct formats: a workbook names a few
-    spec = values.specs(cells.sparkSession, formats or ["General"])
-    shown = values.format_numbers(numbers.withColumnRenamed("number", "value"), spec)
-    for f in formats:
-        if values.is_date(f) and values.supported(f):
-            serial = F.col("value").cast("double")
-            if values.ELAPSED.search(f):
-                as_text = values.elapsed(serial * 86400, f)
-            else:
-                at = F.when(F.col("date1904"), values.from_serial(serial, True)).otherwise(values.from_serial(serial))
-                day, time = F.date_format(at, "yyyy-MM-dd"), values.clock(F.hour(at), F.minute(at), F.second(at), f)
-                has_date, has_time = any(c in f.lower() for c in "yd"), any(c in f.lower() for c in "hs")
-                as_text = F.concat(day, F.lit(" "), time) if has_date and has_time else day if has_date else time
-            shown = shown.withColumn("text", F.when(F.col("fmt") == f, as_text).otherwise(F.col("text")))
-    texts = shown.select("doc_id", "sheet_index", "sheet_key", "row", "col", "text").unionByName(filled.where("kind <> 'number'").select("doc_id", "sheet_index", "sheet_key", "row", "col", F.col("value").alias("text")))
-    texts = texts.where(~T.is_blank(F.col("text")))
-    found = regions.boxes(regions.components(texts.select("sheet_key", "row", "col"), "sheet_key"), "sheet_key")
-    grids = regions.dense(found, texts.select("sheet_key", "row", "col", "text"), "sheet_key").join(found.select("sheet_key", "region", "top", "left"), ["sheet_key", "region"])
+    heads = raw.where("kind = 'sheet'").select("doc_id", (c("sheet_index") * SHEET).alias("block_index"), F.lit("heading").alias("kind"), title.alias("inlines"), F.lit(1).alias("level"))
+    texts = cell_texts(raw).withColumn("kind", F.lit("text"))
+    areas = raw.where("kind IN ('merge', 'area')").select("doc_id", "sheet_index", "kind", "box", "header_rows")
+    tables = regions.tables(texts.unionByName(areas, allowMissingColumns=True).withColumn("sheet_key", key), "sheet_key")
     place = F.split("sheet_key", ":")
-    tables = grids.select(place[0].cast("long").alias("doc_id"), (place[1].cast("int") * 1_000_000 + 1 + F.col("region")).alias("block_index"), F.lit("table").alias("kind"), "grid", F.lit(0).alias("header_rows"))
-    return heads.unionByName(tables, allowMissingColumns=True)
-
-
-def pdf_blocks(lines: DataFrame) -> DataFrame:
-    """Lines of PDFs as headings by size against the body, list items, or paragraphs."""
-    sized = lines.where("kind = 'line'").select("doc_id", "block_index", "text", F.col("value").cast("double").alias("size"))
-    body = quality.body_size(sized.withColumn("weight", F.length(F.trim("text"))), "doc_id")
-    rows = sized.join(body, "doc_id").withColumn("level", quality.heading_level(F.col("size"), F.col("body"), F.col("text"), F.lit(None).cast("string"))).withColumn("m", quality.list_marker(T.strip(F.col("text"))))
-    kind = F.when(F.col("level").isNotNull(), "heading").when(F.col("m").isNotNull(), "list_item").otherwise("paragraph")
-    shown = F.when(kind == "list_item", F.col("m.content")).otherwise(T.strip(F.col("text")))
-    return rows.select("doc_id", "block_index", kind.alias("kind"), F.array(F.struct(shown.alias("text"), F.lit(None).cast("string").alias("target"))).alias("inlines"), F.coalesce(F.when(kind == "list_item", 0), F.col("level")).alias("level"), F.when(kind == "list_item", F.col("m.ordinal").cast("int")).alias("ordinal"))
+    tables = tables.select(place[0].cast("long").alias("doc_id"), place[1].cast("int").alias("sheet_index"), "row", "col", F.lit(0).alias("kind_rank"), F.lit(0).alias("ordinal"), "kind", "grid", "cells", "row_count", "header_rows")
+    objects = raw.where("kind = 'object'").select("doc_id", "sheet_index", "row", "col", c("rank").alias("kind_rank"), c("block_index").alias("ordinal"), "kind", "anchor", "blocks", "text", "image")
+    slots = records.ordinals(tables.unionByName(objects, allowMissingColumns=True), "doc_id", "sheet_index").withColumn("block_index", c("sheet_index") * SHEET + c("object_index") * SLOT)
+    shown = slots.where("kind <> 'object'").select("doc_id", "block_index", "kind", "grid", "cells", "row_count", "header_rows")
+    held = slots.where("kind = 'object'")
+    marks = held.select("doc_id", "block_index", F.lit("markdown").alias("kind"), F.format_string("<!-- xlsx-object: sheet=%d range=%s object=%d -->", "sheet_index", "anchor", "object_index").alias("text"))
+    said = held.select("doc_id", "block_index", F.posexplode("blocks").alias("at", "b")).select("doc_id", (c("block_index") + 1 + c("at")).alias("block_index"), "b.*")
+    images = held.where("image IS NOT NULL").select("doc_id", (c("block_index") + SLOT - 1).alias("block_index"), "text", "image")
+    out = heads
+    for part in (shown, marks, said):
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out, images
+
+
+#: How far lines of one paragraph may be apart (page units), and how much their sizes may differ.
+LINE_GAP, LINE_LEFT, LINE_RIGHT, LINE_SIZE = (-0.005, 0.04), 0.04, 0.35, 0.5
+
+
+def pdf_blocks(raw: DataFrame) -> DataFrame:
+    """Lines of PDFs as code, headings by size against the body, list items, and paragraphs of lines that belong together.
+    Running headers, footers and page numbers are left out."""
+    c = F.col
+    lines = raw.where("kind = 'line'").select("doc_id", "page_number", "block_index", "text", "size", "font", *(c("box")[i].alias(n) for i, n in enumerate(("left", "top", "right", "bottom"))))
+    edge = F.when(c("bottom") <= quality.TOP_MAX, "top").when(c("top") >= quality.BOTTOM_MIN, "bottom")
+    edges = lines.select(c("doc_id").alias("doc"), c("page_number").alias("page"), "block_index", edge.alias("edge"), "text").where("edge IS NOT NULL")
+    pages = raw.where("kind = 'page'").select(c("doc_id").alias("doc"), c("page_number").alias("page"))
+    dropped = quality.edge_lines(edges, pages).where("suppressed").select(c("doc").alias("doc_id"), "block_index")
+    lines = lines.join(dropped, ["doc_id", "block_index"], "left_anti")
+    body = quality.body_size(lines.withColumn("weight", F.length(F.trim("text"))), "doc_id")
+    rows = lines.join(body, "doc_id").withColumn("text", T.strip(c("text"))).withColumn("m", quality.list_marker(c("text"))).withColumn("h", quality.heading_level(c("size"), c("body"), c("text"), c("font")))
+    code = quality.monospace(c("font")) & quality.code_like(c("text"))
+    rows = rows.withColumn("kind", F.when(code, "code").when(c("h").isNotNull(), "heading").when(c("m").isNotNull(), "list_item").otherwise("paragraph"))
+    by = Window.partitionBy("doc_id").orderBy("block_index")
+    before = lambda x: F.lag(x).over(by)
+    next_ = (before("block_index") == c("block_index") - 1) & (before("kind") == c("kind"))
+    near = (c("top") - before("bottom")).between(*LINE_GAP) & (F.abs(c("left") - before("left")) <= LINE_LEFT) & (F.abs(c("right") - before("right")) <= LINE_RIGHT) & (F.abs(c("size") - before("size")) <= LINE_SIZE)
+    rows = quality.islands(rows, ["doc_id"], "block_index", next_ & ((c("kind") == "code") | (c("kind") == "paragraph") & near))
+    whole = rows.groupBy("doc_id", "island").agg(
+        F.min("block_index").alias("block_index"), F.first("kind").alias("kind"), F.max("h").alias("h"), F.first("m", True).alias("m"),
+        F.transform(F.array_sort(F.collect_list(F.struct("block_index", "text"))), lambda x: x["text"]).alias("lines"),
+    )
+    shown = F.when(c("kind") == "list_item", c("m.content")).otherwise(quality.join_lines(c("lines")))
+    inlines = F.when(c("kind") != "code", F.array(F.struct(shown.alias("text"), F.lit(None).cast("string").alias("target"))))
+    return whole.select("doc_id", "block_index", "kind", F.when(c("kind") == "code", F.array_join("lines", "\n")).alias("text"), inlines.alias("inlines"), F.when(c("kind") == "heading", c("h")).when(c("kind") == "list_item", 0).alias("level"), F.when(c("kind") == "list_item", c("m.ordinal").cast("int")).alias("ordinal"))
+
+
+def routed(raw: DataFrame) -> DataFrame:
+    """doc_id, block_index, page_number, route, reason of every page of a PDF."""
+    c = F.col
+    r = geometry.route(c("failed"), c("has_text"), c("reliable"), c("image_share"), c("regions"), c("union_share"))
+    return raw.where("kind = 'page'").select("doc_id", "block_index", "page_number", r.alias("r")).select("doc_id", "block_index", "page_number", "r.*")
 
 
 def parse(sources: DataFrame, client: vision.Client | None = None, budget: int = text.OUTPUT_CHARS) -> DataFrame:
@@ -125,14 +187,19 @@ def parse(sources: DataFrame, client: vision.Client | None = None, budget: int =
     written = text.blocks(texts)
     verbatim = good.where("document_type = 'markdown'").select("doc_id", F.lit(1).alias("block_index"), F.lit("markdown").alias("kind"), T.newlines(F.col("content").cast("string")).alias("text"))
     raw = written_once(extracted(good.where("document_type IN ('docx', 'pptx', 'xlsx', 'pdf')")))  # read by every branch below
+    sheets_, pictures = sheet_blocks(raw)
     images = raw.where("kind = 'image'").unionByName(good.where("document_type = 'image'").select("doc_id", F.lit(1).alias("block_index"), F.lit("image").alias("kind"), F.col("content").alias("image")), allowMissingColumns=True)
-    images = images.select("doc_id", "block_index", "text", F.sha2("image", 256).alias("digest"), "image")
+    images = images.select("doc_id", "block_index", "text", "image").unionByName(pictures).withColumn("digest", F.sha2("image", 256))
     plain = raw.where(F.col("kind").isin(*render.KINDS)).select(*[c for c in render.SCHEMA if c in COLUMNS])
-    parts = [written, verbatim, plain, pdf_blocks(raw), sheet_blocks(raw)]
-    warned = raw.where("kind = 'warning'").select("doc_id", "block_index", "warning")
+    parts = [written, verbatim, plain, pdf_blocks(raw), sheets_]
+    pages = routed(raw)
+    at_page = F.concat(F.lit(": PDF page "), F.col("page_number").cast("string"), F.lit(": "), F.replace("reason", F.lit("_"), F.lit(" ")))
+    warned = raw.where("kind = 'warning'").select("doc_id", "block_index", "warning").unionByName(format_warnings(raw))
+    warned = warned.unionByName(pages.where("route = 'blank'").select("doc_id", "block_index", F.concat(F.lit("blank_page"), at_page).alias("warning")))
+    warned = warned.unionByName(pages.where("route IN ('hybrid', 'full_vision')").select("doc_id", "block_index", F.concat(F.lit("vision_unavailable_native_only"), at_page).alias("warning")))
     if client is not None:
         told = vision.outcomes(images.select("digest", F.col("image").alias("content")), client)
-        seen = images.drop("image", "text").join(told, "digest")
+        seen = records.replay(images.drop("image", "text"), told, "digest")
         elements = seen.where("elements IS NOT NULL").select("doc_id", "block_index", F.explode("elements").alias("e"))
         parts.append(elements.select("doc_id", "block_index", F.when(F.col("e.type") == "table", "table").otherwise("text").alias("kind"), F.col("e.text").alias("text"), F.col("e.grid").alias("grid"), F.col("e.header_rows").alias("header_rows")).where("kind = 'table' OR trim(text) <> ''"))
         warned = warned.unionByName(seen.where("error IS NOT NULL").select("doc_id", "block_index", F.concat(F.lit("vision_image_failed: "), "error").alias("warning")))
@@ -142,9 +209,11 @@ def parse(sources: DataFrame, client: vision.Client | None = None, budget: int =
     for p in parts[1:]:
         blocks = blocks.unionByName(render.with_schema(p))
     rendered = render.render(blocks, budget).withColumnRenamed("error_code", "render_error")
-    told_all = warned.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_index", "warning"))), lambda w: w["warning"]).alias("told"))
+    code = F.substring_index("warning", ": ", 1)
+    listed = warned.select("doc_id", code.alias("code"), F.struct("block_index", "warning").alias("seq"), F.expr("substring(warning, length(substring_index(warning, ': ', 1)) + 3)").alias("message"))
+    told_all = records.bounded(listed).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("code") == "office_warnings_truncated", "code", "rank", "message"))), lambda w: F.concat(w["code"], F.lit(": "), w["message"])).alias("told"))
     broken = raw.where("kind = 'error'").select("doc_id", F.col("error_code").alias("extract_error"))
-    needs = images.select("doc_id").unionByName(raw.where("kind = 'visual_page'").select("doc_id")).distinct().withColumn("visual", F.lit(True))
+    needs = images.select("doc_id").unionByName(pages.where("route = 'full_vision'").select("doc_id")).distinct().withColumn("visual", F.lit(True))
     out = found.select("doc_id", "name", "document_type", "error_code").join(rendered, "doc_id", "left").join(told_all, "doc_id", "left").join(broken, "doc_id", "left").join(needs, "doc_id", "left")
     nothing = F.when(F.col("visual"), "vision_required").otherwise("no_usable_content")
     error = F.coalesce("error_code", "extract_error", F.when(F.col("render_error") == "no_usable_content", nothing).otherwise(F.col("render_error")), F.when(F.col("markdown").isNull(), nothing))

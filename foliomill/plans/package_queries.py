@@ -16,6 +16,7 @@ from foliomill.plans import documents
 from foliomill.plans.core_queries import BOX, vector_boxes
 from foliomill.plans.lineage import place
 from foliomill.plans.text_queries import table
+from foliomill.sources.package import WORKBOOK
 from foliomill.streaming import ingest
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -37,7 +38,7 @@ def package(main: str, parts: dict[str, str]) -> bytes:
     out = io.BytesIO()
     rels = lambda pairs: "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="{RELATION}{t}" Target="{to}"/>' for i, t, to in pairs) + "</Relationships>"
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("[Content_Types].xml", f'<Types><Override PartName="/{main}" ContentType="{WORKBOOK}"/></Types>')
         z.writestr("_rels/.rels", rels([("r1", "officeDocument", main)]))
         for name, data in parts.items():
             z.writestr(name, rels(data) if isinstance(data, list) else data)
@@ -63,9 +64,22 @@ def xlsx(title: str, lines: list[str]) -> bytes:
 
 
 def pdf(title: str, lines: list[str]) -> bytes:
+    """Four pages of different layout, with a running header and page numbers: a heading and a paragraph of lines, a list, a ruled
+    table, and two columns of paragraphs."""
     quoted = lambda x: x.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)")
-    shown = f"BT /F1 24 Tf 72 760 Td ({quoted(title)}) Tj /F1 12 Tf " + " ".join(f"0 -20 Td ({quoted(x)}) Tj" for x in lines) + " ET"
-    objects = ["<</Type/Catalog/Pages 2 0 R>>", "<</Type/Pages/Kids[3 0 R]/Count 1>>", "<</Type/Page/Parent 2 0 R/Contents 4 0 R>>", f"<</Length {len(shown)}>>\nstream\n{shown}\nendstream"]
+    put = lambda x, y, text, size=12: f"BT /F1 {size} Tf {x} {y} Td ({quoted(text)}) Tj ET"
+    half = (len(lines) + 1) // 2
+    bodies = [
+        [put(72, 700, title, 24), *(put(72, 650 - 14 * i, x) for i, x in enumerate(lines))],
+        [put(72, 700 - 14 * i, f"- {x}") for i, x in enumerate(lines)],
+        [c for i, x in enumerate(lines) for y in [700 - 24 * i] for c in (f"72 {y} 60 24 re S 132 {y} 300 24 re S", put(78, y + 8, str(i + 1)), put(138, y + 8, x))],
+        [put(72 if i < half else 340, 700 - 60 * (i % half), x) for i, x in enumerate(lines)],
+    ]
+    pages = [" ".join([put(72, 770, f"{title} report"), *body, put(300, 30, f"Page {n}")]) for n, body in enumerate(bodies, 1)]
+    kids = " ".join(f"{3 + 2 * i} 0 R" for i in range(len(pages)))
+    objects = ["<</Type/Catalog/Pages 2 0 R>>", f"<</Type/Pages/Kids[{kids}]/Count {len(pages)}>>"]
+    for i, shown in enumerate(pages):
+        objects += [f"<</Type/Page/Parent 2 0 R/Contents {4 + 2 * i} 0 R>>", f"<</Length {len(shown)}>>\nstream\n{shown}\nendstream"]
     return ("%PDF-1.4\n" + "".join(f"{i} 0 obj\n{o}\nendobj\n" for i, o in enumerate(objects, 1))).encode("latin-1")
 
 
@@ -107,7 +121,15 @@ def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(spark, sf_dir, "xlsx", xlsx)
 
 
-@query(roundtrip_sql(f"'<!-- page: 1 -->' || {TWO} || '# ' || r_name", ESCAPED, TWO, "''", "count(*)::INT + 2"))
+PAGE = lambda n: f"chr(10) || chr(10) || '<!-- page: {n} -->' || chr(10) || chr(10)"
+
+
+@query(f"""
+WITH n AS (SELECT r_regionkey, r_name, n_nationkey, {ESCAPED} AS n_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS i FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT r_regionkey::BIGINT AS doc_id, '<!-- page: 1 -->' || {TWO} || '# ' || r_name || {TWO} || string_agg(n_name, ' ' ORDER BY i) || {PAGE(2)} || string_agg('- ' || n_name, chr(10) ORDER BY i) || {PAGE(3)}
+  || '<table>' || chr(10) || '<tbody>' || chr(10) || string_agg('<tr><td>' || i || '</td><td>' || n_name || '</td></tr>', chr(10) ORDER BY i) || chr(10) || '</tbody>' || chr(10) || '</table>' || {PAGE(4)} || string_agg(n_name, {TWO} ORDER BY i) || chr(10) AS markdown,
+  count(*)::INT * 2 + 7 AS n_blocks, NULL::VARCHAR AS error_code FROM n GROUP BY r_regionkey, r_name
+""")
 def pdf_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roundtrip(spark, sf_dir, "pdf", pdf)
 

@@ -11,7 +11,8 @@ from xml.parsers import expat
 #: The limits of a package.
 MEMBERS, TOTAL, XML_PART, MEDIA, MEDIA_PART, MEDIA_TOTAL, RATIO = 2048, 32 << 20, 4 << 20, 256, 16 << 20, 24 << 20, 100
 MAIN = {"docx": "word/document.xml", "pptx": "ppt/presentation.xml", "xlsx": "xl/workbook.xml"}
-ROOT_RELATION = "/officeDocument"
+#: Fixed value: what a workbook's main part says it is.
+WORKBOOK = "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"
 
 
 class Rejected(Exception):
@@ -116,6 +117,9 @@ class Package:
                 raise Rejected("limit_exceeded", "too many media")
         if "[Content_Types].xml" not in self.names or MAIN[kind] not in self.names:
             raise Rejected("corrupt_document", "a required part is missing")
+        types = [o[1] for o in every(self.xml("[Content_Types].xml"), "Override") if o[1].get("PartName") == "/" + MAIN[kind]]
+        if kind == "xlsx" and not any(t.get("ContentType") == WORKBOOK for t in types):
+            raise Rejected("corrupt_document", "the main part is not a workbook")
         if not any(t == MAIN[kind] for t, _, _ in self.relations("").values()):
             raise Rejected("corrupt_document", "the main part is not related to the package")
 

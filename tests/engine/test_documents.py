@@ -7,7 +7,7 @@ import pytest
 
 from foliomill.operators import vision
 from foliomill.plans import documents
-from foliomill.sources import files, office, package, pdf, sheets
+from foliomill.sources import files, layout, office, package, pdf, sheets
 
 R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 P = "http://schemas.openxmlformats.org/package/2006/relationships"
@@ -26,7 +26,7 @@ def relations(*rels):
 
 
 def base(main, **more):
-    return {"[Content_Types].xml": "<Types/>", "_rels/.rels": relations(("r1", "officeDocument", main)), **more}
+    return {"[Content_Types].xml": f"<Types><Override PartName='/{main}' ContentType='{package.WORKBOOK}'/></Types>", "_rels/.rels": relations(("r1", "officeDocument", main)), **more}
 
 
 PNG = b"\x89PNG\r\n\x1a\n" + b"picture"
@@ -119,7 +119,7 @@ def test_xlsx(results):
 
 
 def test_pdf(results):
-    assert results["f.pdf"].markdown == "<!-- page: 1 -->\n\n# Report\n\nPlain (first) line\n\nsec ond\n\n- item\n\n<!-- page: 2 -->\n\nPage\n"
+    assert results["f.pdf"].markdown == "<!-- page: 1 -->\n\n# Report\n\nPlain (first) line sec ond\n\n- item\n\n<!-- page: 2 -->\n\nPage\n"
 
 
 def test_vision_answers_are_told_at_every_place(spark):
@@ -190,3 +190,110 @@ def test_stream(spark, tmp_path):
         ingest.to_parquet(ingest.markdown(ingest.texts(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         (tmp_path / "in" / "b.txt").write_bytes(b"later")
     assert sorted(r.markdown for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["\\- one\n\ntwo\n", "later\n"]
+
+
+BOOK = zipped(base("xl/workbook.xml", **{
+    "xl/workbook.xml": "<workbook xmlns:r='r'><sheets><sheet name='Data' r:id='r1'/></sheets></workbook>",
+    "xl/_rels/workbook.xml.rels": relations(("r1", "worksheet", "worksheets/sheet1.xml")),
+    "xl/styles.xml": "<styleSheet><numFmts><numFmt numFmtId='164' formatCode='h:mm:ss.00 AM/PM'/><numFmt numFmtId='165' formatCode='0.0E+0'/></numFmts><dxfs><dxf><numFmt numFmtId='166' formatCode='0%'/></dxf></dxfs><cellXfs><xf numFmtId='0'/><xf numFmtId='164'/><xf numFmtId='165'/></cellXfs></styleSheet>",
+    "xl/worksheets/sheet1.xml": """<worksheet xmlns:r='r'><dimension ref='A1:H20'/><sheetData>
+      <row><c r='A1' t='inlineStr'><is><t>wide</t></is></c><c r='C1'><v>7</v></c></row><row><c r='A2'><v>1</v></c><c r='B2'><v>2</v></c><c r='C2'><v>3</v></c></row>
+      <row><c r='E4' t='inlineStr'><is><t>head</t></is></c></row><row><c r='E5' s='1'><v>0.5000001</v></c></row><row><c r='E6' s='2'><v>12.5</v></c></row>
+      <row><c r='A10' t='inlineStr'><is><t>site</t></is></c></row></sheetData>
+      <conditionalFormatting sqref='C1:C2'><cfRule dxfId='0'/></conditionalFormatting><mergeCells><mergeCell ref='A1:B1'/></mergeCells>
+      <hyperlinks><hyperlink ref='A10' r:id='h1'/><hyperlink ref='B10' r:id='h2' display='run'/><hyperlink ref='C10' location='Data!A1'/></hyperlinks>
+      <headerFooter><oddHeader>&amp;LLeft &amp;"Arial,Bold"&amp;12bold&amp;RPage &amp;P &amp;G</oddHeader></headerFooter></worksheet>""",
+    "xl/worksheets/_rels/sheet1.xml.rels": relations(("h1", "hyperlink", "https://x.org/a"), ("h2", "hyperlink", "file://c/x"), ("t1", "table", "../tables/t1.xml"), ("c1", "comments", "../comments1.xml"), ("p1", "threadedComment", "../threadedComments/tc1.xml"), ("d1", "drawing", "../drawings/d1.xml"), ("x1", "slicer", "../slicer1.xml")),
+    "xl/tables/t1.xml": "<table ref='E4:E6' headerRowCount='1'/>", "xl/slicer1.xml": "<slicer/>",
+    "xl/comments1.xml": "<comments><authors><author>Ann</author></authors><commentList><comment ref='A2' authorId='0'><text><t>check</t></text></comment></commentList></comments>",
+    "xl/threadedComments/tc1.xml": "<t><threadedComment ref='B2' personId='p'><text>why</text></threadedComment></t>", "xl/persons/person.xml": "<personList><person id='p' displayName='Bo'/></personList>",
+    "xl/drawings/d1.xml": """<xdr:wsDr xmlns:xdr='x' xmlns:a='a' xmlns:c='c' xmlns:r='r'><xdr:oneCellAnchor><xdr:from><xdr:col>6</xdr:col><xdr:row>0</xdr:row></xdr:from><xdr:sp><xdr:nvSpPr><xdr:cNvPr name='Note'/></xdr:nvSpPr><xdr:txBody><a:p><a:r><a:t>boxed</a:t></a:r></a:p></xdr:txBody></xdr:sp></xdr:oneCellAnchor>
+      <xdr:twoCellAnchor><xdr:from><xdr:col>6</xdr:col><xdr:row>9</xdr:row></xdr:from><xdr:to><xdr:col>7</xdr:col><xdr:row>19</xdr:row></xdr:to><xdr:graphicFrame><c:chart r:id='c1'/></xdr:graphicFrame></xdr:twoCellAnchor></xdr:wsDr>""",
+    "xl/drawings/_rels/d1.xml.rels": relations(("c1", "chart", "../charts/chart1.xml")),
+    "xl/charts/chart1.xml": """<c:chartSpace xmlns:c='c' xmlns:a='a'><c:chart><c:title><a:t>Sales</a:t></c:title><c:plotArea><c:barChart><c:ser><c:tx><c:v>S1</c:v></c:tx>
+      <c:cat><c:strRef><c:f>Data!$A$2:$B$2</c:f></c:strRef></c:cat><c:val><c:numRef><c:f>Data!$A$2</c:f><c:numCache><c:ptCount val='2'/><c:pt idx='1'><c:v>9</c:v></c:pt></c:numCache></c:numRef></c:val></c:ser></c:barChart></c:plotArea></c:chart></c:chartSpace>""",
+}))
+
+
+def test_objects_of_a_sheet(spark):
+    out = documents.parse(files.from_memory(spark, [("book.xlsx", BOOK)])).collect()[0]
+    assert out.error_code is None
+    md = out.markdown
+    assert md.startswith("# Data (Visible)\n\n")
+    assert '<td colspan="2">wide</td><td>7</td>' in md and "<td>1</td><td>2</td><td>3</td>" in md
+    assert "| head |\n| --- |\n| 12:00:00.01 PM |\n| 12.5 |" in md
+    for part in ("range=A10 object=", "[site](https://x.org/a)", "run (file://c/x)", "](#Data!A1)", "Comment by Ann: check", "Threaded comment by Bo: why", "Text box (Name: Note)\n\nboxed", "Header left: Left bold", "Header right: Page &P", "## Sales\n\nChart type: bar\n\nSeries names: S1"):
+        assert part in md or part.replace("&P", "&amp;P") in md, part
+    assert "<td>Series</td><td>S1</td><td>Category</td><td>1</td><td>Value</td><td></td>" in md and "<td>2</td><td>Value</td><td>9</td>" in md
+    assert md.index("wide") < md.index("Comment by Ann") < md.index("head |") < md.index("[site]") < md.index("## Sales")
+    codes = [w.split(":")[0] for w in out.warnings]
+    assert sorted(set(codes)) == ["xlsx_external_reference", "xlsx_unsupported_number_format", "xlsx_unsupported_object"] and len(codes) == 6
+
+
+@pytest.mark.parametrize("change,code", [
+    ({"xl/worksheets/sheet1.xml": "<worksheet><sheetData><row><c r='A1'/><c r='A1'/></row></sheetData></worksheet>"}, "corrupt_document"),
+    ({"xl/worksheets/sheet1.xml": "<worksheet><sheetData/><mergeCells><mergeCell ref='A1:Z2000'/></mergeCells></worksheet>"}, "limit_exceeded"),
+    ({"xl/worksheets/sheet1.xml": "<worksheet><sheetData/>" + "<scenario/>" * 1001 + "</worksheet>"}, "limit_exceeded"),
+    ({"xl/styles.xml": "<styleSheet><dxfs>" + "<dxf/>" * 10_001 + "</dxfs></styleSheet>"}, "limit_exceeded"),
+    ({"xl/worksheets/sheet1.xml": "<worksheet><dimension ref='A1:XFD1048576'/><sheetData/></worksheet>"}, "limit_exceeded"),
+    ({"xl/worksheets/sheet1.xml": "<worksheet>" + "<x/>" * 200_001 + "</worksheet>"}, "limit_exceeded"),
+    ({"[Content_Types].xml": "<Types/>"}, "corrupt_document"),
+])
+def test_workbooks_are_counted_before_they_are_read(change, code):
+    parts = base("xl/workbook.xml", **{"xl/workbook.xml": "<workbook xmlns:r='r'><sheets><sheet name='A' r:id='r1'/></sheets></workbook>", "xl/_rels/workbook.xml.rels": relations(("r1", "worksheet", "worksheets/sheet1.xml")), "xl/worksheets/sheet1.xml": "<worksheet><sheetData/></worksheet>"}) | change
+    with pytest.raises(package.Rejected) as e:
+        list(sheets.Workbook(zipped(parts)).cells())
+    assert e.value.code == code
+
+
+def test_many_warnings_are_bounded(spark):
+    cells = "".join(f"<row><c r='A{i}'><f>B{i}</f></c></row>" for i in range(1, 41))
+    book = zipped(base("xl/workbook.xml", **{"xl/workbook.xml": "<workbook xmlns:r='r'><sheets><sheet name='A' r:id='r1'/></sheets></workbook>", "xl/_rels/workbook.xml.rels": relations(("r1", "worksheet", "worksheets/sheet1.xml")), "xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{cells}</sheetData></worksheet>"}))
+    out = documents.parse(files.from_memory(spark, [("w.xlsx", book)])).collect()[0]
+    assert len(out.warnings) == 21 and "20 additional" in out.warnings[-1]
+
+
+def page(*words, rules=(), shapes=(), images=()):
+    """Words as (text, left, top), each .02 high and .01 wide for a letter."""
+    return {"page_number": 1, "failed": False, "rules": list(rules), "shapes": list(shapes), "images": list(images), "words": [{"text": t, "box": (x, y, x + 0.01 * len(t), y + 0.02), "size": 10.0, "font": "Sans"} for t, x, y in words]}
+
+
+def test_layout_of_pages():
+    texts = lambda p: [b.get("text") or b["grid"] for b in layout.page_blocks(p)[0]]
+    two = page(*((f"l{i}", 0.1, 0.1 + 0.1 * i) for i in range(3)), *((f"r{i}", 0.6, 0.1 + 0.1 * i) for i in range(3)))
+    assert texts(two) == ["l0", "l1", "l2", "r0", "r1", "r2"]
+    wide = page(("top", 0.1, 0.05), ("x" * 75, 0.1, 0.3), ("a", 0.1, 0.4), ("b", 0.6, 0.4))
+    assert texts(wide)[:2] == ["top", "x" * 75]
+    numbers = page(*((t, x, 0.1 + 0.05 * i) for i, row in enumerate([("x1", "5"), ("ab", "12"), ("cd", "3.5"), ("ef", "7%")]) for t, x in zip(row, (0.1, 0.5))))
+    assert texts(numbers) == [[["x1", "5"], ["ab", "12"], ["cd", "3.5"], ["ef", "7%"]]]
+    joined = page(("Hello", 0.1, 0.1), (",", 0.16, 0.1), ("world", 0.18, 0.1), ("漢", 0.1, 0.3), ("字", 0.12, 0.3))
+    assert texts(joined) == ["Hello, world", "漢字"]
+    about = lambda p: layout.page_blocks(p)[1]
+    assert about(page(images=[(0, 0, 1, 1)]))["image_share"] == 1 and not about(page())["has_text"]
+    assert about(page(("word", 0.1, 0.1), images=[(0.5, 0.5, 0.9, 0.9), (0.5, 0.905, 0.9, 0.99), (0.1, 0.5, 0.2, 0.6)]))["regions"] == 1
+    assert not about(page(("(cid:5)" * 20, 0.1, 0.1)))["reliable"]
+    drawing = page(("word", 0.1, 0.1), shapes=[(0.5 + 0.005 * i, 0.5, 0.51 + 0.005 * i, 0.6) for i in range(40)])
+    assert about(drawing)["regions"] == 1
+    overlap = page(("aaaaaaaaaaaaaaaa", 0.1, 0.1), ("bbbbbbbbbbbbbbbb", 0.1, 0.112))
+    assert layout.ambiguous([b["box"] for b in layout.page_blocks(overlap)[0]])
+    assert abs(layout.union_area([(0, 0, 0.5, 0.5), (0.25, 0.25, 0.75, 0.75)]) - 0.4375) < 1e-12
+    same = [{"box": (0.1, 0.1, 0.5, 0.5), "grid": [["a", "b"], ["c", "d"]]}, {"box": (0.1, 0.1, 0.5, 0.51), "grid": [["a", "b"], ["c", "d"], ["", ""]]}, {"box": (0.6, 0.1, 0.9, 0.5), "grid": [["x", "y"], ["z", "w"]]}]
+    assert [len(t["grid"]) for t in layout.canonical(same)] == [3, 2]
+
+
+def test_fonts_and_encodings():
+    cmap = b"beginbfchar <01> <0041> <02> <00660069> endbfchar beginbfrange <10> <12> <0061> <20> <21> [<0078> <0079>] endbfrange"
+    assert pdf.Font.mapped(cmap) == {1: "A", 2: "fi", 16: "a", 17: "b", 18: "c", 32: "x", 33: "y"}
+    assert [pdf.glyph(g) for g in ("A", "uni00E9", "eacute", "five", "fi", "comma", "nothing.x")] == ["A", "é", "é", "5", "fi", ",", "\ufffd"]
+    assert pdf.read(b"<</A[1 -2.5(x\\(y\\))]/B 3 0 R /C<4142>>>")[0] == {"A": [1, -2.5, b"x(y)"], "B": 3, "C": b"AB"}
+    shown = b"BT /F1 10 Tf 1 0 0 1 50 700 Tm <010210> Tj ET"
+    body = b"".join(b"%d 0 obj\n%s\nendobj\n" % (i, o) for i, o in enumerate([
+        b"<</Type/Catalog/Pages 2 0 R>>", b"<</Type/Pages/Kids[3 0 R]/Count 1/MediaBox[0 0 600 800]>>", b"<</Type/Page/Parent 2 0 R/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>",
+        b"<</Length 1>>\nstream\n" + shown + b"\nendstream", b"<</Type/Font/Subtype/TrueType/BaseFont/ABCDEF+Courier/FirstChar 1/Widths[500 600]/ToUnicode 6 0 R>>", b"<</Length 1>>\nstream\n" + cmap + b"\nendstream",
+    ], 1))
+    word = next(pdf.Pdf(b"%PDF-1.4\n" + body).page_facts())["words"][0]
+    assert word["text"] == "Afia" and word["font"] == "Courier" and abs(word["box"][0] - 50 / 600) < 1e-9 and abs(word["box"][2] - 66 / 600) < 1e-9
+    with pytest.raises(package.Rejected, match="inflate"):
+        bomb = pdf.Pdf(pdf_of(b" " * 1_000_000))
+        bomb.left = 1000
+        list(bomb.page_facts())
