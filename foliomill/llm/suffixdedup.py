@@ -41,6 +41,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Unlike pieces under one key from which on it is split, and how many distances to its gram are kept together by each split.
 CROWD, PARTS = 2048, (17, 1)
+#: Crowded keys are told to the scan by this many bits; a key that shares its bit with a crowded one is split as well.
+MARKS = 1 << 20
 RUN = "key long, slot long, mark long, start int, size int, shape long, n int"
 
 
@@ -91,33 +93,56 @@ def least_hashes(buf: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple
     return out, twice, far
 
 
-def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def bit_of(key):
+    """The bit of a key (numpy array or column)."""
+    if isinstance(key, np.ndarray):
+        return (key >> np.uint64(20) & np.uint64(MARKS - 1)).astype(np.int64)
+    return F.shiftrightunsigned(key, 20).bitwiseAND(F.lit(MARKS - 1))
+
+
+def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, levels: list[tuple[int, np.ndarray]] = ()) -> DataFrame:
     """key, slot, mark, start, size, shape, n: consecutive starts that share a key. shape: a hash of the bytes that their strings
-    cover; n is 2 if the key's gram occurs in them more than once."""
+    cover; n is 2 if the key's gram occurs in them more than once.
+
+    levels: (part, marked bits). Only starts whose key is marked are taken, under a finer key: their distance to the key's gram,
+    `part` distances together, and a hash of the bytes that the strings of all starts of such a part cover; level by level.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
             texts = batch.column(2)
-            ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset) if len(texts) else np.zeros(1, np.int32)
+            ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
             raw = texts.buffers()[2]
-            buf = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None and len(texts) else np.empty(0, np.uint8)
+            buf = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw is not None else np.empty(0, np.uint8)
             ends = (ends - ends[0]).astype(np.int64)
-            key, twice, _ = least_hashes(buf, width, gram)
+            key, twice, far = least_hashes(buf, width, gram)
             begin, stop = ends[:-1], np.maximum(ends[1:] - width + 1, ends[:-1])  # valid starts of each text
             inside = np.zeros(len(buf) + 1, np.int8)
             np.add.at(inside, begin, 1)
             np.add.at(inside, stop, -1)
             valid = np.cumsum(inside[: len(key)]).astype(bool)
+            sums = Sums(buf)
+            for part, bits in levels:
+                p = np.flatnonzero(valid)
+                p = p[bits[bit_of(key[p])]]
+                low = far[p] // part * part
+                core = p + far[p] - low
+                key[p] = mixed(sums.of(core, core + width - part + 1) ^ key[p] + low.astype(np.uint64))
+                valid = np.zeros(len(key), bool)
+                valid[p] = True
             new = valid.copy()
             new[1:] &= ~valid[:-1] | (key[1:] != key[:-1])
-            new[begin[begin < stop]] = True
+            at = begin[begin < stop]
+            new[at] = valid[at]
             last = valid.copy()
             last[:-1] &= ~valid[1:] | new[1:]
             first, size = np.flatnonzero(new), np.flatnonzero(last) - np.flatnonzero(new) + 1
-            seen = np.append(0, np.cumsum(twice))
+            again = twice.copy()  # the gram occurs twice in a string, or the next string has another gram
+            again[1:] |= valid[1:] & ~new[1:] & (far[1:] != far[:-1] - 1)
+            seen = np.append(0, np.cumsum(again & valid))
             many = (seen[first + size] > seen[first]) | (size > width - gram + 1)
             doc = np.searchsorted(ends, first, side="right") - 1
-            shape = Sums(buf).of(first, first + size + width - 1) if len(first) else np.empty(0, np.uint64)
+            shape = sums.of(first, first + size + width - 1)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key[first].view(np.int64)), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array((first - ends[doc]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(shape.view(np.int64)), pa.array(many.astype(np.int32) + np.int32(1))],
                 ["key", "slot", "mark", "start", "size", "shape", "n"],
@@ -126,42 +151,6 @@ def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     return docs.select("slot", "mark", "text").mapInArrow(scan, RUN)
 
 
-def parted(piece: bytes, key: int, part: int, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A crowded run as finer ones: first start, size, key, shape, n of each. Starts whose distance to the key's gram lies in
-    the same `part` are filed under a hash of the bytes that the strings of all such starts cover."""
-    buf = np.frombuffer(piece, np.uint8)
-    _, _, far = least_hashes(buf, width, gram)
-    sums, p = Sums(buf), np.arange(len(far))
-    low = far // part * part
-    core = p + far - low
-    finer = mixed(sums.of(core, core + width - part + 1) ^ np.uint64(key & (1 << 64) - 1) + low.astype(np.uint64))
-    new = np.append(True, finer[1:] != finer[:-1])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(p)))
-    moved = np.append(False, far[1:] != far[:-1] - 1) & ~new  # the gram is another one: the same bytes again
-    seen = np.append(0, np.cumsum(moved))
-    return first, size, finer[first].view(np.int64), sums.of(first, first + size + width - 1).view(np.int64), 1 + (seen[first + size] > seen[first])
-
-
-def split(docs: DataFrame, crowded: DataFrame, part: int, width: int, gram: int) -> DataFrame:
-    """The runs of crowded keys as finer ones (see `parted`)."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in short(batches):
-            for slot, mark, text, held in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = text.encode()
-                cols = []
-                for r in held:
-                    first, size, key, shape, n = parted(raw[r["start"] : r["start"] + r["size"] + width - 1], r["key"], part, width, gram)
-                    cols.append((key, first + r["start"], size, shape, n))
-                key, start, size, shape, n = (np.concatenate(c) for c in zip(*cols))
-                arrays = [pa.array(key), pa.array(np.full(len(key), slot)), pa.array(np.full(len(key), mark)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(shape), pa.array(n.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "slot", "mark", "start", "size", "shape", "n"])
-
-    by_doc = crowded.groupBy("slot", "mark").agg(F.collect_set(F.struct("key", "start", "size")).alias("held"))
-    return docs.select("slot", "mark", "text").join(by_doc, ["slot", "mark"]).select("slot", "mark", "text", "held").mapInArrow(cut, RUN)
-
-
 def pieces(docs: DataFrame, repeated: DataFrame, width: int = WIDTH) -> DataFrame:
     """key, piece (the bytes that a run's strings cover), and the runs that have it: slots, marks, starts."""
 
@@ -270,20 +259,22 @@ def covered(found: DataFrame, width: int = WIDTH) -> DataFrame:
 
 def intervals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """slot, mark, spans (array of start, stop) for the rows of `slots` that lose something."""
-    every, found = runs(docs, width, gram), None
+    levels, found = [], None
     for part in (*PARTS, None):
-        every = written(every)
-        often = every.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1")
+        every = written(runs(docs, width, gram, levels))
+        often = written(every.groupBy("key").agg(F.sum("n").alias("times")).where("times > 1"))  # a table, so that a skewed join can be split
         repeated = written(every.drop("n").join(often, "key"))
-        unlike = repeated.where(F.col("times") > crowd).select("key", "shape").distinct().groupBy("key").count().where(F.col("count") > crowd).select("key")
-        crowded = written(unlike) if part else None
-        some = repeated if crowded is None or crowded.isEmpty() else repeated.join(crowded, "key", "left_anti")
-        part_found = pieces(docs, some.drop("times", "shape"), width)
-        found = part_found if found is None else found.unionByName(part_found)
-        if some is repeated:
+        unlike = repeated.where(F.col("times") > crowd).select("key", "shape").distinct().groupBy("key").count().where(F.col("count") > crowd)
+        bits = unlike.select(bit_of(F.col("key")).alias("bit")).distinct().toArrow()["bit"].to_numpy() if part else ()  # at most MARKS
+        repeated = repeated.drop("times", "shape")
+        if len(bits):
+            levels.append((part, np.isin(np.arange(MARKS), bits)))
+            split = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"bit": pa.array(bits)})))
+            repeated = repeated.withColumn("bit", bit_of(F.col("key"))).join(split, "bit", "left_anti").drop("bit")
+        found = repeated if found is None else found.unionByName(repeated)
+        if not len(bits):
             break
-        every = split(docs, repeated.join(crowded, "key", "left_semi"), part, width, gram)
-    return covered(found, width).groupBy("slot", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return covered(pieces(docs, found, width), width).groupBy("slot", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
