@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions import pytext as T
+from foliomill.operators import images as pictures
 from foliomill.operators import detect, geometry, quality, records, regions, render, text, values, vision
 from foliomill.plans.lineage import few
 from foliomill.plans.lineage import written as written_once
@@ -167,6 +168,23 @@ def pdf_blocks(raw: DataFrame) -> DataFrame:
     return whole.select("doc_id", "block_index", "kind", F.when(c("kind") == "code", F.array_join("lines", "\n")).alias("text"), inlines.alias("inlines"), F.when(c("kind") == "heading", c("h")).when(c("kind") == "list_item", 0).alias("level"), F.when(c("kind") == "list_item", c("m.ordinal").cast("int")).alias("ordinal"))
 
 
+def worthwhile(images: DataFrame) -> DataFrame:
+    """`images` (text: the alternative text, image) without icons that say nothing; a standalone image is never one."""
+
+    @F.pandas_udf("boolean")
+    def says(text: pd.Series, image: pd.Series) -> pd.Series:
+        def one(alt, content) -> bool:
+            try:
+                ready = pictures.prepare(bytes(content))
+            except package.Rejected:
+                return True
+            return not pictures.decorative(ready.header.width, ready.header.height, ready.facts, None, alt or "")
+
+        return pd.Series([one(a, c) for a, c in zip(text, image)])
+
+    return images.where(F.col("alone") | says("text", "image")).drop("alone")
+
+
 def routed(raw: DataFrame) -> DataFrame:
     """doc_id, block_index, page_number, route, reason of every page of a PDF."""
     c = F.col
@@ -187,9 +205,10 @@ def parse(sources: DataFrame, client: vision.Client | None = None, budget: int =
     written = text.blocks(texts)
     verbatim = good.where("document_type = 'markdown'").select("doc_id", F.lit(1).alias("block_index"), F.lit("markdown").alias("kind"), T.newlines(F.col("content").cast("string")).alias("text"))
     raw = written_once(extracted(good.where("document_type IN ('docx', 'pptx', 'xlsx', 'pdf')")))  # read by every branch below
-    sheets_, pictures = sheet_blocks(raw)
+    sheets_, on_sheets = sheet_blocks(raw)
     images = raw.where("kind = 'image'").unionByName(good.where("document_type = 'image'").select("doc_id", F.lit(1).alias("block_index"), F.lit("image").alias("kind"), F.col("content").alias("image")), allowMissingColumns=True)
-    images = images.select("doc_id", "block_index", "text", "image").unionByName(pictures).withColumn("digest", F.sha2("image", 256))
+    images = images.select("doc_id", "block_index", "text", "image").unionByName(on_sheets).withColumn("digest", F.sha2("image", 256))
+    images = images.join(good.select("doc_id", (F.col("document_type") == "image").alias("alone")), "doc_id")
     plain = raw.where(F.col("kind").isin(*render.KINDS)).select(*[c for c in render.SCHEMA if c in COLUMNS])
     parts = [written, verbatim, plain, pdf_blocks(raw), sheets_]
     pages = routed(raw)
@@ -198,11 +217,14 @@ def parse(sources: DataFrame, client: vision.Client | None = None, budget: int =
     warned = warned.unionByName(pages.where("route = 'blank'").select("doc_id", "block_index", F.concat(F.lit("blank_page"), at_page).alias("warning")))
     warned = warned.unionByName(pages.where("route IN ('hybrid', 'full_vision')").select("doc_id", "block_index", F.concat(F.lit("vision_unavailable_native_only"), at_page).alias("warning")))
     if client is not None:
+        images = worthwhile(images)
         told = vision.outcomes(images.select("digest", F.col("image").alias("content")), client)
         seen = records.replay(images.drop("image", "text"), told, "digest")
         elements = seen.where("elements IS NOT NULL").select("doc_id", "block_index", F.explode("elements").alias("e"))
         parts.append(elements.select("doc_id", "block_index", F.when(F.col("e.type") == "table", "table").otherwise("text").alias("kind"), F.col("e.text").alias("text"), F.col("e.grid").alias("grid"), F.col("e.header_rows").alias("header_rows")).where("kind = 'table' OR trim(text) <> ''"))
-        warned = warned.unionByName(seen.where("error IS NOT NULL").select("doc_id", "block_index", F.concat(F.lit("vision_image_failed: "), "error").alias("warning")))
+        failed = F.when(F.col("elements").isNull(), F.concat(F.lit("vision_image_failed: "), "error")).otherwise(F.concat(F.lit("vision_image_tile_failed: "), "error"))
+        warned = warned.unionByName(seen.where("error IS NOT NULL").select("doc_id", "block_index", failed.alias("warning")))
+        warned = warned.unionByName(seen.where("error IS NULL AND size(elements) = 0").select("doc_id", "block_index", F.lit("vision_image_empty: nothing was read in an image").alias("warning")))
     else:
         warned = warned.unionByName(images.select("doc_id", "block_index", F.lit("vision_unavailable_native_only: an image was left out").alias("warning")))
     blocks = render.with_schema(parts[0])
