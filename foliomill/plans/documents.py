@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliomill.errors import RETRYABLE
 from foliomill.functions import pytext as T
 from foliomill.operators import images as pictures
 from foliomill.operators import detect, geometry, quality, records, regions, render, text, values, vision
@@ -31,49 +32,64 @@ def with_members(sources: DataFrame) -> DataFrame:
     return sources.withColumn("members", names(F.when(zipped, F.col("content"))))
 
 
-def extracted(sources: DataFrame) -> DataFrame:
-    """Raw rows of packages and PDFs: blocks, images, cells, warnings, or one row with an error."""
+def office_rows(reader) -> Iterator[dict]:
+    for b in reader.blocks():
+        if b["kind"] == "image":
+            b = {"kind": "image", "text": b.get("text"), "image": reader.p.read(b["part"])}
+        yield b
+    yield from ({"kind": "warning", "warning": f"{c}: {m}"} for c, m in reader.warnings)
+
+
+def xlsx_rows(content: bytes) -> Iterator[dict]:
+    book = sheets.Workbook(content)
+    for c in book.cells():
+        part = c.pop("part", None)
+        yield {**c, "kind": c["kind"] or "sheet", "text": c.pop("alt", None), "date1904": book.date1904, "image": book.p.read(part) if part else None}
+    yield from ({"kind": "warning", "warning": f"{c}: {m}"} for c, m in book.warnings)
+
+
+def pdf_rows(content: bytes) -> Iterator[dict]:
+    for page in pdf.Pdf(content).page_facts():
+        blocks, about = layout.page_blocks(page)
+        yield {"kind": "page_break", "page_number": page["page_number"]}
+        yield {"kind": "page", "page_number": page["page_number"], **about}
+        for b in blocks:
+            b["box"] = list(b["box"])
+            if b["kind"] == "table":
+                b |= {"grid": [[c or "" for c in row] for row in b["grid"]], "header_rows": 0}
+            yield {**b, "page_number": page["page_number"]}
+
 
-    def rows_of(kind: str, content: bytes) -> Iterator[dict]:
-        if kind in ("docx", "pptx"):
-            reader = office.Docx(content) if kind == "docx" else office.Pptx(content)
-            for b in reader.blocks():
-                if b["kind"] == "image":
-                    b = {"kind": "image", "text": b.get("text"), "image": reader.p.read(b["part"])}
-                yield b
-            yield from ({"kind": "warning", "warning": f"{c}: {m}"} for c, m in reader.warnings)
-        elif kind == "xlsx":
-            book = sheets.Workbook(content)
-            for c in book.cells():
-                part = c.pop("part", None)
-                yield {**c, "kind": c["kind"] or "sheet", "text": c.pop("alt", None), "date1904": book.date1904, "image": book.p.read(part) if part else None}
-            yield from ({"kind": "warning", "warning": f"{c}: {m}"} for c, m in book.warnings)
-        else:
-            for page in pdf.Pdf(content).page_facts():
-                blocks, about = layout.page_blocks(page)
-                yield {"kind": "page_break", "page_number": page["page_number"]}
-                yield {"kind": "page", "page_number": page["page_number"], **about}
-                for b in blocks:
-                    b["box"] = list(b["box"])
-                    if b["kind"] == "table":
-                        b |= {"grid": [[c or "" for c in row] for row in b["grid"]], "header_rows": 0}
-                    yield {**b, "page_number": page["page_number"]}
+#: What reads each type of document: bytes -> raw rows (dicts with some of COLUMNS). `register` adds or replaces one.
+READERS: dict[str, Callable[[bytes], Iterator[dict]]] = {"docx": lambda c: office_rows(office.Docx(c)), "pptx": lambda c: office_rows(office.Pptx(c)), "xlsx": xlsx_rows, "pdf": pdf_rows}
+
+
+def register(kind: str, reader: Callable[[bytes], Iterator[dict]]) -> None:
+    if not isinstance(kind, str) or not kind or not callable(reader):
+        raise TypeError("a reader is a function for a named type")
+    READERS[kind] = reader
+
+
+def extracted(sources: DataFrame, timeout: float | None = None) -> DataFrame:
+    """Raw rows of packages and PDFs: blocks, images, cells, warnings, or one row with an error."""
+    readers = dict(READERS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for doc_id, kind, content in zip(frame["doc_id"], frame["document_type"], frame["content"]):
-                rows: list[dict] = []
-                try:
-                    rows += rows_of(kind, bytes(content))
-                except package.Rejected as e:
-                    rows = [{"kind": "error", "error_code": e.code}]
-                except (ValueError, KeyError, IndexError, TypeError, RecursionError):
-                    rows = [{"kind": "error", "error_code": "corrupt_document"}]
-                out += [{**dict.fromkeys(COLUMNS), **r, "doc_id": doc_id, "block_index": i} for i, r in enumerate(rows, 1)]
-            yield pd.DataFrame(out, columns=COLUMNS)
-
-    sources.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(FILE_BATCH))
+        for frame in frames:  # bounded in bytes by Spark
+            for first in range(0, len(frame), FILE_BATCH):
+                some, out = frame.iloc[first : first + FILE_BATCH], []
+                for doc_id, kind, content in zip(some["doc_id"], some["document_type"], some["content"]):
+                    rows: list[dict] = []
+                    try:
+                        with package.deadline(timeout):
+                            rows += readers[kind](bytes(content))
+                    except package.Rejected as e:
+                        rows = [{"kind": "error", "error_code": e.code}]
+                    except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError):
+                        rows = [{"kind": "error", "error_code": "corrupt_document"}]
+                    out += [{**dict.fromkeys(COLUMNS), **r, "doc_id": doc_id, "block_index": i} for i, r in enumerate(rows, 1)]
+                yield pd.DataFrame(out, columns=COLUMNS)
+
     return sources.select("doc_id", "document_type", "content").mapInPandas(run, RAW)
 
 
@@ -192,7 +208,7 @@ def routed(raw: DataFrame) -> DataFrame:
     return raw.where("kind = 'page'").select("doc_id", "block_index", "page_number", r.alias("r")).select("doc_id", "block_index", "page_number", "r.*")
 
 
-def parse(sources: DataFrame, client: vision.Client | None = None, budget: int = text.OUTPUT_CHARS) -> DataFrame:
+def parse(sources: DataFrame, client: vision.Client | None = None, budget: int = text.OUTPUT_CHARS, timeout: float | None = 900.0) -> DataFrame:
     """doc_id, name, document_type, markdown, n_blocks, warnings, error_code, retryable for every source (name, content, error_code).
 
     Text is rendered by column functions alone; packages and PDFs are read once in Python and written by the same renderer.
@@ -204,20 +220,29 @@ def parse(sources: DataFrame, client: vision.Client | None = None, budget: int =
     texts = good.where("document_type = 'text'").select("doc_id", F.col("content").cast("string").alias("text"))
     written = text.blocks(texts)
     verbatim = good.where("document_type = 'markdown'").select("doc_id", F.lit(1).alias("block_index"), F.lit("markdown").alias("kind"), T.newlines(F.col("content").cast("string")).alias("text"))
-    raw = written_once(extracted(good.where("document_type IN ('docx', 'pptx', 'xlsx', 'pdf')")))  # read by every branch below
-    sheets_, on_sheets = sheet_blocks(raw)
+    raw = written_once(extracted(good.where(F.col("document_type").isin(*READERS)), timeout))  # read by every branch below
+    kinds = {r.kind for r in raw.select("kind").distinct().collect()}  # a few names; branches without rows are left out of the plan
     images = raw.where("kind = 'image'").unionByName(good.where("document_type = 'image'").select("doc_id", F.lit(1).alias("block_index"), F.lit("image").alias("kind"), F.col("content").alias("image")), allowMissingColumns=True)
-    images = images.select("doc_id", "block_index", "text", "image").unionByName(on_sheets).withColumn("digest", F.sha2("image", 256))
-    images = images.join(good.select("doc_id", (F.col("document_type") == "image").alias("alone")), "doc_id")
+    images = images.select("doc_id", "block_index", "text", "image")
     plain = raw.where(F.col("kind").isin(*render.KINDS)).select(*[c for c in render.SCHEMA if c in COLUMNS])
-    parts = [written, verbatim, plain, pdf_blocks(raw), sheets_]
-    pages = routed(raw)
-    at_page = F.concat(F.lit(": PDF page "), F.col("page_number").cast("string"), F.lit(": "), F.replace("reason", F.lit("_"), F.lit(" ")))
-    warned = raw.where("kind = 'warning'").select("doc_id", "block_index", "warning").unionByName(format_warnings(raw))
-    warned = warned.unionByName(pages.where("route = 'blank'").select("doc_id", "block_index", F.concat(F.lit("blank_page"), at_page).alias("warning")))
-    warned = warned.unionByName(pages.where("route IN ('hybrid', 'full_vision')").select("doc_id", "block_index", F.concat(F.lit("vision_unavailable_native_only"), at_page).alias("warning")))
+    parts = [written, verbatim, plain]
+    warned = raw.where("kind = 'warning'").select("doc_id", "block_index", "warning")
+    visual = images.select("doc_id")
+    if "sheet" in kinds:
+        shown, on_sheets = sheet_blocks(raw)
+        parts.append(shown)
+        images = images.unionByName(on_sheets)
+        warned = warned.unionByName(format_warnings(raw))
+    if "page" in kinds:
+        parts.append(pdf_blocks(raw))
+        pages = routed(raw)
+        at_page = F.concat(F.lit(": PDF page "), F.col("page_number").cast("string"), F.lit(": "), F.replace("reason", F.lit("_"), F.lit(" ")))
+        warned = warned.unionByName(pages.where("route = 'blank'").select("doc_id", "block_index", F.concat(F.lit("blank_page"), at_page).alias("warning")))
+        warned = warned.unionByName(pages.where("route IN ('hybrid', 'full_vision')").select("doc_id", "block_index", F.concat(F.lit("vision_unavailable_native_only"), at_page).alias("warning")))
+        visual = visual.unionByName(pages.where("route = 'full_vision'").select("doc_id"))
+    images = images.withColumn("digest", F.sha2("image", 256))
     if client is not None:
-        images = worthwhile(images)
+        images = worthwhile(images.join(good.select("doc_id", (F.col("document_type") == "image").alias("alone")), "doc_id"))
         told = vision.outcomes(images.select("digest", F.col("image").alias("content")), client)
         seen = records.replay(images.drop("image", "text"), told, "digest")
         elements = seen.where("elements IS NOT NULL").select("doc_id", "block_index", F.explode("elements").alias("e"))
@@ -235,9 +260,9 @@ def parse(sources: DataFrame, client: vision.Client | None = None, budget: int =
     listed = warned.select("doc_id", code.alias("code"), F.struct("block_index", "warning").alias("seq"), F.expr("substring(warning, length(substring_index(warning, ': ', 1)) + 3)").alias("message"))
     told_all = records.bounded(listed).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("code") == "office_warnings_truncated", "code", "rank", "message"))), lambda w: F.concat(w["code"], F.lit(": "), w["message"])).alias("told"))
     broken = raw.where("kind = 'error'").select("doc_id", F.col("error_code").alias("extract_error"))
-    needs = images.select("doc_id").unionByName(pages.where("route = 'full_vision'").select("doc_id")).distinct().withColumn("visual", F.lit(True))
+    needs = visual.distinct().withColumn("visual", F.lit(True))
     out = found.select("doc_id", "name", "document_type", "error_code").join(rendered, "doc_id", "left").join(told_all, "doc_id", "left").join(broken, "doc_id", "left").join(needs, "doc_id", "left")
     nothing = F.when(F.col("visual"), "vision_required").otherwise("no_usable_content")
     error = F.coalesce("error_code", "extract_error", F.when(F.col("render_error") == "no_usable_content", nothing).otherwise(F.col("render_error")), F.when(F.col("markdown").isNull(), nothing))
     warnings = F.concat(F.coalesce("told", F.array().cast("array<string>")), F.coalesce(F.transform("warnings", lambda w: F.concat(w["code"], F.lit(": "), w["message"])), F.array().cast("array<string>")))
-    return out.select("doc_id", "name", "document_type", F.when(error.isNull(), F.col("markdown")).alias("markdown"), F.when(error.isNull(), F.col("n_blocks")).otherwise(0).alias("n_blocks"), F.when(error.isNull(), warnings).alias("warnings"), error.alias("error_code"), F.coalesce(error.isin("timeout", "model_unavailable"), F.lit(False)).alias("retryable"))
+    return out.select("doc_id", "name", "document_type", F.when(error.isNull(), F.col("markdown")).alias("markdown"), F.when(error.isNull(), F.col("n_blocks")).otherwise(0).alias("n_blocks"), F.when(error.isNull(), warnings).alias("warnings"), error.alias("error_code"), F.coalesce(error.isin(*RETRYABLE), F.lit(False)).alias("retryable"))

@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.operators.detect import SOURCE_BYTES, basename, portable, source_error
+from foliomill.operators.detect import REMOTE, SOURCE_BYTES, basename, portable, source_error
 
-#: Rows of whole files in one Arrow batch.
+#: Whole files that are extracted before their rows are passed on.
 FILE_BATCH = 16
 
 
+def remote(name: str) -> bool:
+    """Whether a name has a scheme that is refused."""
+    return name.split(":", 1)[0].lower() in REMOTE and ":" in name
+
+
 def read(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """doc_id, name, content, error_code: the files below a folder.
 

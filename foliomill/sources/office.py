@@ -80,8 +80,10 @@ class Docx:
         if ident in (None, "0") or ident not in self.nums:
             return None
         abstract, over = self.nums[ident]
-        fmt, start = self.levels.get((abstract, level), ("decimal", 1))
-        if fmt in ("bullet", "none"):
+        fmt, start = self.levels.get((abstract, level), ("none", 1))
+        if fmt == "none":
+            return None
+        if fmt == "bullet":
             return level, None
         key = (ident, level)
         self.counters[key] = self.counters.get(key, over.get(level, start) - 1) + 1

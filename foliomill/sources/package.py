@@ -5,7 +5,10 @@ from __future__ import annotations
 import io
 import posixpath
 import re
+import signal
+import threading
 import zipfile
+from contextlib import contextmanager
 from xml.parsers import expat
 
 #: The limits of a package.
@@ -23,6 +26,25 @@ class Rejected(Exception):
         self.code = code
 
 
+@contextmanager
+def deadline(seconds: float | None):
+    """Rejects what takes longer. Works in the main thread of a process, which is where workers run; elsewhere there is no limit."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise Rejected("timeout", "the document took too long")
+
+    before = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def members(content: bytes) -> list[str] | None:
     """Names in a ZIP container, or None if it is none."""
     try:
