@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -48,16 +49,36 @@ def xlsx_rows(content: bytes) -> Iterator[dict]:
     yield from ({"kind": "warning", "warning": f"{c}: {m}"} for c, m in book.warnings)
 
 
-def pdf_rows(content: bytes) -> Iterator[dict]:
+#: Places between two raw rows, for what is read in an image.
+STEP = 1000
+#: A renderer gives a page (from 1) of a PDF as an image; there is none here, so it is injected.
+Renderer = Callable[[bytes, int], bytes]
+
+
+def pdf_rows(content: bytes, renderer: Renderer | None = None) -> Iterator[dict]:
+    """Lines, tables and facts of every page; with a renderer also the image of each page that may need one, and of its regions."""
     for page in pdf.Pdf(content).page_facts():
+        number = page["page_number"]
         blocks, about = layout.page_blocks(page)
-        yield {"kind": "page_break", "page_number": page["page_number"]}
-        yield {"kind": "page", "page_number": page["page_number"], **about}
+        yield {"kind": "page_break", "page_number": number}
+        yield {"kind": "page", "page_number": number, **about}
+        image = None
+        if renderer and (about["failed"] or about["regions"] or about["has_text"] and not about["reliable"]):
+            try:
+                image = renderer(content, number)
+                yield {"kind": "page_image", "page_number": number, "box": [0.0, 0.0, 1.0, 1.0], "image": image}
+            except Exception:
+                yield {"kind": "warning", "warning": f"visual_processing_failed: PDF page {number}: the page was not rendered"}
         for b in blocks:
             b["box"] = list(b["box"])
             if b["kind"] == "table":
                 b |= {"grid": [[c or "" for c in row] for row in b["grid"]], "header_rows": 0}
-            yield {**b, "page_number": page["page_number"]}
+            elif b["kind"] == "region":
+                part = pictures.cropped(image, tuple(b["box"])) if image else None
+                if part is None:
+                    continue
+                b |= {"kind": "region_image", "image": part}
+            yield {**b, "page_number": number}
 
 
 #: What reads each type of document: bytes -> raw rows (dicts with some of COLUMNS). `register` adds or replaces one.
@@ -70,9 +91,11 @@ def register(kind: str, reader: Callable[[bytes], Iterator[dict]]) -> None:
     READERS[kind] = reader
 
 
-def extracted(sources: DataFrame, timeout: float | None = None) -> DataFrame:
+def extracted(sources: DataFrame, timeout: float | None = None, renderer: Renderer | None = None) -> DataFrame:
     """Raw rows of packages and PDFs: blocks, images, cells, warnings, or one row with an error."""
     readers = dict(READERS)
+    if renderer and readers["pdf"] is pdf_rows:
+        readers["pdf"] = partial(pdf_rows, renderer=renderer)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:  # bounded in bytes by Spark
@@ -87,7 +110,7 @@ def extracted(sources: DataFrame, timeout: float | None = None) -> DataFrame:
                         rows = [{"kind": "error", "error_code": e.code}]
                     except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError):
                         rows = [{"kind": "error", "error_code": "corrupt_document"}]
-                    out += [{**dict.fromkeys(COLUMNS), **r, "doc_id": doc_id, "block_index": i} for i, r in enumerate(rows, 1)]
+                    out += [{**dict.fromkeys(COLUMNS), **r, "doc_id": doc_id, "block_index": i * STEP} for i, r in enumerate(rows, 1)]
                 yield pd.DataFrame(out, columns=COLUMNS)
 
     return sources.select("doc_id", "document_type", "content").mapInPandas(run, RAW)
@@ -172,7 +195,7 @@ def pdf_blocks(raw: DataFrame) -> DataFrame:
     rows = rows.withColumn("kind", F.when(code, "code").when(c("h").isNotNull(), "heading").when(c("m").isNotNull(), "list_item").otherwise("paragraph"))
     by = Window.partitionBy("doc_id").orderBy("block_index")
     before = lambda x: F.lag(x).over(by)
-    next_ = (before("block_index") == c("block_index") - 1) & (before("kind") == c("kind"))
+    next_ = (before("block_index") == c("block_index") - STEP) & (before("kind") == c("kind"))
     near = (c("top") - before("bottom")).between(*LINE_GAP) & (F.abs(c("left") - before("left")) <= LINE_LEFT) & (F.abs(c("right") - before("right")) <= LINE_RIGHT) & (F.abs(c("size") - before("size")) <= LINE_SIZE)
     rows = quality.islands(rows, ["doc_id"], "block_index", next_ & ((c("kind") == "code") | (c("kind") == "paragraph") & near))
     whole = rows.groupBy("doc_id", "island").agg(
@@ -184,6 +207,24 @@ def pdf_blocks(raw: DataFrame) -> DataFrame:
     return whole.select("doc_id", "block_index", "kind", F.when(c("kind") == "code", F.array_join("lines", "\n")).alias("text"), inlines.alias("inlines"), F.when(c("kind") == "heading", c("h")).when(c("kind") == "list_item", 0).alias("level"), F.when(c("kind") == "list_item", c("m.ordinal").cast("int")).alias("ordinal"))
 
 
+def page_images(raw: DataFrame) -> DataFrame:
+    """doc_id, block_index, page_number, box, route, image: what the model is to see of PDFs: whole pages or regions, by the route."""
+    held = raw.where("kind IN ('page_image', 'region_image')").select("doc_id", "block_index", "page_number", "box", "kind", "image")
+    both = held.join(routed(raw).select("doc_id", "page_number", "route"), ["doc_id", "page_number"])
+    return both.where("route = 'full_vision' AND kind = 'page_image' OR route = 'hybrid' AND kind = 'region_image'").drop("kind")
+
+
+def without_seen(raw: DataFrame, seen: DataFrame) -> DataFrame:
+    """`raw` without the native lines and tables of pages that were read as a whole, and without those of which the centre lies in
+    a region that was read. seen: page_images that have elements."""
+    box = lambda: F.struct(*(F.col("box")[i].alias(n) for i, n in enumerate(("left", "top", "right", "bottom"))))
+    native = raw.where("kind IN ('line', 'table') AND page_number IS NOT NULL").select("doc_id", "page_number", "block_index", box().alias("box"))
+    areas = seen.select("doc_id", "page_number", box().alias("box"))
+    left = geometry.unowned(native, areas, ["doc_id", "page_number"]).select("doc_id", "block_index")
+    gone = native.select("doc_id", "block_index").join(left, ["doc_id", "block_index"], "left_anti")
+    return raw.join(gone, ["doc_id", "block_index"], "left_anti")
+
+
 def worthwhile(images: DataFrame) -> DataFrame:
     """`images` (text: the alternative text, image) without icons that say nothing; a standalone image is never one."""
 
@@ -208,11 +249,13 @@ def routed(raw: DataFrame) -> DataFrame:
     return raw.where("kind = 'page'").select("doc_id", "block_index", "page_number", r.alias("r")).select("doc_id", "block_index", "page_number", "r.*")
 
 
-def parse(sources: DataFrame, client: vision.Client | None = None, budget: int = text.OUTPUT_CHARS, timeout: float | None = 900.0) -> DataFrame:
+def parse(sources: DataFrame, client: vision.Client | None = None, budget: int = text.OUTPUT_CHARS, timeout: float | None = 900.0, renderer: Renderer | None = None) -> DataFrame:
     """doc_id, name, document_type, markdown, n_blocks, warnings, error_code, retryable for every source (name, content, error_code).
 
     Text is rendered by column functions alone; packages and PDFs are read once in Python and written by the same renderer.
     Images are asked for once by digest and told at every place they stand; without a client they are left out with a warning.
+    With a renderer, pages and regions of PDFs that native text does not cover are read from their images, and what was read there
+    takes the place of the native text; where reading fails the native text stays.
     """
     found = detect.detect(with_members(sources.withColumnRenamed("error_code", "source_error")))
     found = found.withColumn("error_code", F.coalesce("source_error", "error_code")).drop("members", "source_error")
@@ -220,13 +263,12 @@ def parse(sources: DataFrame, client: vision.Client | None = None, budget: int =
     texts = good.where("document_type = 'text'").select("doc_id", F.col("content").cast("string").alias("text"))
     written = text.blocks(texts)
     verbatim = good.where("document_type = 'markdown'").select("doc_id", F.lit(1).alias("block_index"), F.lit("markdown").alias("kind"), T.newlines(F.col("content").cast("string")).alias("text"))
-    raw = written_once(extracted(good.where(F.col("document_type").isin(*READERS)), timeout))  # read by every branch below
+    raw = written_once(extracted(good.where(F.col("document_type").isin(*READERS)), timeout, renderer if client else None))  # read by every branch below
     kinds = {r.kind for r in raw.select("kind").distinct().collect()}  # a few names; branches without rows are left out of the plan
+    parts = [written, verbatim]
+    warned = raw.where("kind = 'warning'").select("doc_id", "block_index", "warning")
     images = raw.where("kind = 'image'").unionByName(good.where("document_type = 'image'").select("doc_id", F.lit(1).alias("block_index"), F.lit("image").alias("kind"), F.col("content").alias("image")), allowMissingColumns=True)
     images = images.select("doc_id", "block_index", "text", "image")
-    plain = raw.where(F.col("kind").isin(*render.KINDS)).select(*[c for c in render.SCHEMA if c in COLUMNS])
-    parts = [written, verbatim, plain]
-    warned = raw.where("kind = 'warning'").select("doc_id", "block_index", "warning")
     visual = images.select("doc_id")
     if "sheet" in kinds:
         shown, on_sheets = sheet_blocks(raw)
@@ -234,24 +276,32 @@ def parse(sources: DataFrame, client: vision.Client | None = None, budget: int =
         images = images.unionByName(on_sheets)
         warned = warned.unionByName(format_warnings(raw))
     if "page" in kinds:
-        parts.append(pdf_blocks(raw))
         pages = routed(raw)
         at_page = F.concat(F.lit(": PDF page "), F.col("page_number").cast("string"), F.lit(": "), F.replace("reason", F.lit("_"), F.lit(" ")))
         warned = warned.unionByName(pages.where("route = 'blank'").select("doc_id", "block_index", F.concat(F.lit("blank_page"), at_page).alias("warning")))
-        warned = warned.unionByName(pages.where("route IN ('hybrid', 'full_vision')").select("doc_id", "block_index", F.concat(F.lit("vision_unavailable_native_only"), at_page).alias("warning")))
+        if not (client and renderer):
+            warned = warned.unionByName(pages.where("route IN ('hybrid', 'full_vision')").select("doc_id", "block_index", F.concat(F.lit("vision_unavailable_native_only"), at_page).alias("warning")))
         visual = visual.unionByName(pages.where("route = 'full_vision'").select("doc_id"))
-    images = images.withColumn("digest", F.sha2("image", 256))
     if client is not None:
-        images = worthwhile(images.join(good.select("doc_id", (F.col("document_type") == "image").alias("alone")), "doc_id"))
+        kinds_of = good.select("doc_id", F.col("document_type").isin("image", "pdf").alias("alone"))
+        if "page_image" in kinds:
+            images = images.unionByName(page_images(raw).select("doc_id", "block_index", F.lit(None).cast("string").alias("text"), "image"))
+        images = worthwhile(images.withColumn("digest", F.sha2("image", 256)).join(kinds_of, "doc_id"))
         told = vision.outcomes(images.select("digest", F.col("image").alias("content")), client)
-        seen = records.replay(images.drop("image", "text"), told, "digest")
-        elements = seen.where("elements IS NOT NULL").select("doc_id", "block_index", F.explode("elements").alias("e"))
+        seen = written_once(records.replay(images.drop("image", "text"), told, "digest"))  # each image is asked for once
+        if "page_image" in kinds:
+            answered = page_images(raw).drop("image").join(seen.where("elements IS NOT NULL").select("doc_id", "block_index"), ["doc_id", "block_index"])
+            raw = without_seen(raw, answered)
+        elements = seen.where("elements IS NOT NULL").select("doc_id", "block_index", F.posexplode("elements").alias("at", "e")).withColumn("block_index", F.col("block_index") + F.least(F.col("at"), F.lit(STEP - 2)) + 1)
         parts.append(elements.select("doc_id", "block_index", F.when(F.col("e.type") == "table", "table").otherwise("text").alias("kind"), F.col("e.text").alias("text"), F.col("e.grid").alias("grid"), F.col("e.header_rows").alias("header_rows")).where("kind = 'table' OR trim(text) <> ''"))
         failed = F.when(F.col("elements").isNull(), F.concat(F.lit("vision_image_failed: "), "error")).otherwise(F.concat(F.lit("vision_image_tile_failed: "), "error"))
         warned = warned.unionByName(seen.where("error IS NOT NULL").select("doc_id", "block_index", failed.alias("warning")))
         warned = warned.unionByName(seen.where("error IS NULL AND size(elements) = 0").select("doc_id", "block_index", F.lit("vision_image_empty: nothing was read in an image").alias("warning")))
     else:
         warned = warned.unionByName(images.select("doc_id", "block_index", F.lit("vision_unavailable_native_only: an image was left out").alias("warning")))
+    parts.insert(0, raw.where(F.col("kind").isin(*render.KINDS)).select(*[c for c in render.SCHEMA if c in COLUMNS]))
+    if "page" in kinds:
+        parts.append(pdf_blocks(raw))
     blocks = render.with_schema(parts[0])
     for p in parts[1:]:
         blocks = blocks.unionByName(render.with_schema(p))

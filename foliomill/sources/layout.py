@@ -325,7 +325,7 @@ def reliable(text: str, words: list[dict]) -> bool:
 
 
 def page_blocks(page: dict) -> tuple[list[dict], dict]:
-    """Blocks of a page in reading order (lines and tables with boxes), and what its route depends on."""
+    """Blocks of a page in reading order (lines, tables and visual regions with boxes), and what its route depends on."""
     words = page["words"]
     tables = canonical(ruled(page["rules"], page["shapes"], words))
     free = [w for w in words if not any(inside(t["box"], w["box"]) for t in tables)]
@@ -344,5 +344,6 @@ def page_blocks(page: dict) -> tuple[list[dict], dict]:
         "failed": page["failed"], "has_text": bool(text.strip()), "reliable": reliable(text, words), "image_share": max(map(area, page["images"]), default=0.0),
         "regions": len(found), "union_share": union_area([b for b, _ in found]),
     }
-    blocks = in_columns([{**x, "kind": "line"} for x in lines] + [{**t, "kind": "table"} for t in tables])
+    visual = [{"kind": "region", "box": b, "text": " ".join(reasons)} for b, reasons in found]
+    blocks = in_columns([{**x, "kind": "line"} for x in lines] + [{**t, "kind": "table"} for t in tables] + visual)
     return blocks, about

@@ -297,3 +297,30 @@ def test_fonts_and_encodings():
         bomb = pdf.Pdf(pdf_of(b" " * 1_000_000))
         bomb.left = 1000
         list(bomb.page_facts())
+
+
+def test_pages_are_read_from_images_where_needed(spark):
+    text = b"BT /F1 12 Tf 72 700 Td (Native line) Tj 0 -550 Td (Kept below) Tj ET"
+    picture = b" q 400 0 0 300 100 500 cm BI /W 1 /H 1 ID x EI Q"  # over the first line
+    full = b"q 612 0 0 792 0 0 cm BI /W 1 /H 1 ID x EI Q"
+    content = pdf_of(text + picture, full, text)
+
+    def renderer(data, page):
+        from foliomill.operators.images import png
+        import numpy as np
+
+        rgb = np.full((80, 60, 3), 255, np.uint8)
+        rgb[10:40, 10:50] = 5 * page
+        return png(rgb)
+
+    def client(image, prompt):
+        return json.dumps({"elements": [{"type": "text", "text": "first seen", "source_index": 0}, {"type": "text", "text": "second seen", "source_index": 1}]})
+
+    out = documents.parse(files.from_memory(spark, [("p.pdf", content)]), client, renderer=renderer).collect()[0]
+    pages = out.markdown.split("<!-- page: ")[1:]
+    assert pages[0].startswith("1 -->\n\nfirst seen\n\nsecond seen\n\nKept below") and "Native line" not in pages[0]
+    assert pages[1].startswith("2 -->\n\nfirst seen\n\nsecond seen") and pages[2].startswith("3 -->\n\nNative line\n\nKept below")
+    alone = documents.parse(files.from_memory(spark, [("p.pdf", content)])).collect()[0]
+    assert "Native line" in alone.markdown.split("<!-- page: ")[1] and [w.split(":")[0] for w in alone.warnings] == ["vision_unavailable_native_only"] * 2
+    broken = documents.parse(files.from_memory(spark, [("p.pdf", content)]), lambda *_: "no json", renderer=renderer).collect()[0]
+    assert "Native line" in broken.markdown.split("<!-- page: ")[1] and any(w.startswith("vision_image_failed") for w in broken.warnings)
