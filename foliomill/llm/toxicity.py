@@ -41,12 +41,20 @@ class Model:
     bias: float = -50.0
 
 
+#: Texts whose buckets are marked at once, so that the marks take little memory.
+MARKED = 32
+
+
 def present(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket), once for each bucket that a text has, in order of the texts."""
-    seen = np.zeros(len(texts) * DIMS, bool)
-    for number, bucket in grams(texts, SIZES, DIMS):
-        seen[number.astype(np.int64) * DIMS + bucket] = True
-    pairs = np.flatnonzero(seen)
+    found = []
+    for first in range(0, len(texts), MARKED):
+        some = texts[first : first + MARKED]
+        seen = np.zeros(len(some) * DIMS, bool)
+        for number, bucket in grams(some, SIZES, DIMS):
+            seen[number.astype(np.int64) * DIMS + bucket] = True
+        found.append(np.flatnonzero(seen) + first * DIMS)
+    pairs = np.concatenate(found) if found else np.empty(0, np.int64)
     return pairs >> 18, pairs & DIMS - 1
 
 
