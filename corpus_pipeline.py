@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliomill.llm import bpe, decontam, simhash, suffixdedup, toxicity
 from foliomill.llm.common import table, written
+from foliomill.session import tuned
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of those at hand, does not reject. Null texts are scored like empty
     ones; null ids and repeated rows stay or go by their text; without labels of both classes all stay, or go if all are toxic."""
-    return toxicity.accepted(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.accepted(docs, toxicity.fit(docs, table(tuned(spark), sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over documents."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(tuned(spark), sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
