@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -265,7 +265,7 @@ def parse(sources: DataFrame, client: vision.Client | None = None, budget: int =
     verbatim = good.where("document_type = 'markdown'").select("doc_id", F.lit(1).alias("block_index"), F.lit("markdown").alias("kind"), T.newlines(F.col("content").cast("string")).alias("text"))
     raw = written_once(extracted(good.where(F.col("document_type").isin(*READERS)), timeout, renderer if client else None))  # read by every branch below
     kinds = {r.kind for r in raw.select("kind").distinct().collect()}  # a few names; branches without rows are left out of the plan
-    parts = [written, verbatim]
+    parts: list[DataFrame] = []
     warned = raw.where("kind = 'warning'").select("doc_id", "block_index", "warning")
     images = raw.where("kind = 'image'").unionByName(good.where("document_type = 'image'").select("doc_id", F.lit(1).alias("block_index"), F.lit("image").alias("kind"), F.col("content").alias("image")), allowMissingColumns=True)
     images = images.select("doc_id", "block_index", "text", "image")
@@ -299,12 +299,14 @@ def parse(sources: DataFrame, client: vision.Client | None = None, budget: int =
         warned = warned.unionByName(seen.where("error IS NULL AND size(elements) = 0").select("doc_id", "block_index", F.lit("vision_image_empty: nothing was read in an image").alias("warning")))
     else:
         warned = warned.unionByName(images.select("doc_id", "block_index", F.lit("vision_unavailable_native_only: an image was left out").alias("warning")))
-    parts.insert(0, raw.where(F.col("kind").isin(*render.KINDS)).select(*[c for c in render.SCHEMA if c in COLUMNS]))
+    if kinds:
+        parts.append(raw.where(F.col("kind").isin(*render.KINDS)).select(*[c for c in render.SCHEMA if c in COLUMNS]))
     if "page" in kinds:
         parts.append(pdf_blocks(raw))
-    blocks = render.with_schema(parts[0])
-    for p in parts[1:]:
-        blocks = blocks.unionByName(render.with_schema(p))
+    union = lambda some: reduce(DataFrame.unionByName, map(render.with_schema, some))
+    blocks = union([written, verbatim])
+    if parts:  # written, for the renderer would be planned and compiled anew for each of them
+        blocks = blocks.unionByName(written_once(union(parts)))
     rendered = render.render(blocks, budget).withColumnRenamed("error_code", "render_error")
     code = F.substring_index("warning", ": ", 1)
     listed = warned.select("doc_id", code.alias("code"), F.struct("block_index", "warning").alias("seq"), F.expr("substring(warning, length(substring_index(warning, ': ', 1)) + 3)").alias("message"))

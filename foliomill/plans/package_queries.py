@@ -125,9 +125,9 @@ PAGE = lambda n: f"chr(10) || chr(10) || '<!-- page: {n} -->' || chr(10) || chr(
 
 
 @query(f"""
-WITH n AS (SELECT r_regionkey, r_name, n_nationkey, {ESCAPED} AS n_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS i FROM nation JOIN region ON n_regionkey = r_regionkey)
+WITH n AS (SELECT r_regionkey, r_name, n_name AS raw, {ESCAPED} AS n_name, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey) AS i FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT r_regionkey::BIGINT AS doc_id, '<!-- page: 1 -->' || {TWO} || '# ' || r_name || {TWO} || string_agg(n_name, ' ' ORDER BY i) || {PAGE(2)} || string_agg('- ' || n_name, chr(10) ORDER BY i) || {PAGE(3)}
-  || '<table>' || chr(10) || '<tbody>' || chr(10) || string_agg('<tr><td>' || i || '</td><td>' || n_name || '</td></tr>', chr(10) ORDER BY i) || chr(10) || '</tbody>' || chr(10) || '</table>' || {PAGE(4)} || string_agg(n_name, {TWO} ORDER BY i) || chr(10) AS markdown,
+  || '<table>' || chr(10) || '<tbody>' || chr(10) || string_agg('<tr><td>' || i || '</td><td>' || raw || '</td></tr>', chr(10) ORDER BY i) || chr(10) || '</tbody>' || chr(10) || '</table>' || {PAGE(4)} || string_agg(n_name, {TWO} ORDER BY i) || chr(10) AS markdown,
   count(*)::INT * 2 + 7 AS n_blocks, NULL::VARCHAR AS error_code FROM n GROUP BY r_regionkey, r_name
 """)
 def pdf_native(spark: SparkSession, sf_dir: str) -> DataFrame:
