@@ -109,7 +109,7 @@ def runs(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, levels: list[tup
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in short(batches):
+        for batch in short(batches, 64):  # many numbers are held for every byte
             texts = batch.column(2)
             ends = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
             raw = texts.buffers()[2]

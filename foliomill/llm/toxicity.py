@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,11 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 at += np.split(bucket.astype(np.int32), np.searchsorted(number, np.arange(1, len(some))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32()))], ["toxic", "at"])
 
-    got = rows.mapInArrow(features, "toxic int, at array<int>").toArrow().combine_chunks()
-    y, held = got["toxic"].to_numpy(), got["at"].chunk(0)
-    starts, buckets = held.offsets.to_numpy(), held.values.to_numpy()
-    of = [buckets[s:e] for s, e in zip(starts, starts[1:])]
-    order = sorted(range(len(y)), key=lambda i: (y[i], len(of[i]), of[i].tobytes()))  # whatever the order of the tasks
+    got = rows.mapInArrow(features, "toxic int, at array<int>").toArrow()
+    y, of = got["toxic"].to_numpy(), []
+    for held in got["at"].chunks:  # views: the features are held once
+        starts, buckets = held.offsets.to_numpy(), held.values.to_numpy()
+        of += [buckets[s:e] for s, e in zip(starts, starts[1:])]
+    order = sorted(range(len(y)), key=lambda i: (y[i], len(of[i]), xxhash.xxh64_intdigest(of[i])))  # whatever the order of the tasks
     weight = np.where(y[order] == 1, 1 / share[1], 1 / share[0])
     w, b = logistic([of[i] for i in order], y[order], scale, COST * weight / weight.mean())
     return Model((w * scale).astype(np.float32), float(b))
