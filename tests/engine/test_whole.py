@@ -1,12 +1,17 @@
 """Queries that take every row, against loops over the smallest tables."""
 
 import os
+from collections import Counter
 
 import pytest
 
+pa = pytest.importorskip("pyarrow")
 pq = pytest.importorskip("pyarrow.parquet")
 
-from foliomill.plans import catalogue  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
+from foliomill.operators import geometry  # noqa: E402
+from foliomill.plans import catalogue, core_queries  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -34,6 +39,35 @@ def test_every_overlapping_pair_is_found(spark):
     assert got.keys() == found.keys() and all(abs(got[k] - found[k]) < 1e-8 for k in found)
 
 
+@pytest.mark.parametrize("labels", [1, 10])
+def test_pairs_of_a_crowded_label_are_shared_by_tasks(spark, tmp_path, labels):
+    """Every two parts of a label meet in a task of their own, a box is sent to as many tasks whatever the table's size, and the pairs stay the same."""
+    rows = [r | {"label": r["label"] % labels} for r in rows_of("embeddings")]
+    rows += [r | {"vec_id": None} for r in rows[:3]] + [r | {"label": None} for r in rows[:3]] + rows[:2]  # no pairs, no pairs, pairs once more
+    pq.write_table(pa.Table.from_pylist(rows, pq.read_schema(f"{SF}/embeddings.parquet")), f"{tmp_path}/embeddings.parquet")
+    v = core_queries.vector_boxes(spark, str(tmp_path))
+    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("box").alias("x")), v.select("label", F.col("vec_id").alias("b"), F.col("box").alias("y"))
+    want = a.join(b, "label").where((F.col("a") < F.col("b")) & (geometry.intersection(F.col("x"), F.col("y")) > 0)).select("a", "b", core_queries.nearest(geometry.iou(F.col("x"), F.col("y")), 9).alias("iou"))
+    out = catalogue.QUERIES["bbox_pairs_iou"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.a, r.b, r.iou) for r in out) == sorted(map(tuple, want.collect()))
+    dealt = Counter(r.task for r in out)
+    assert len(dealt) > 60 and max(dealt.values()) < len(out) / 20
+
+
+def test_ratios_are_rounded_as_in_the_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    corners = [[0.15267886221408844, -0.21437402069568634, -0.20269203186035156, 0.13192246854305267], [0.04114542156457901, -0.048334673047065735, -0.208899587392807, -0.11442893743515015]]
+    rows = [{"vec_id": i, "embedding": c, "label": 0} for i, c in enumerate([*corners, [-1.0, -1.0, 0.0, 0.0], [-0.75, -1.0, 0.25, 0.0]])]
+    pq.write_table(pa.Table.from_pylist(rows, pq.read_schema(f"{SF}/embeddings.parquet")), f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = sorted(con.execute(catalogue.ORACLE_SQL["bbox_pairs_iou"]).fetchall())
+    assert sorted(map(tuple, catalogue.QUERIES["bbox_pairs_iou"](spark, str(tmp_path)).collect())) == want
+    assert (0, 1, 0.131054687) in want
+    halves = spark.createDataFrame([(x,) for x in (0.5e-9, 1.5e-9, 1 / 1024, 3 / 1024, 0.0, 1.0, 1 / 3)], "x double").select("x", core_queries.nearest(F.col("x"), 9).alias("r")).collect()
+    assert [r.r for r in halves] == [con.execute("SELECT round(?::DOUBLE, 9)", [r.x]).fetchone()[0] for r in halves]
+
+
 def test_every_line_is_looked_at(spark):
     import re
 
